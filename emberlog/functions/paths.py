@@ -26,7 +26,10 @@ def path_json(parts: list[str]) -> Column:
     """The value at a path as JSON text; NULL when absent."""
     top, rest = parts[0], parts[1:]
     if top == "data":
-        return F.col("data") if not rest else value_text(*_data_value(rest))
+        if not rest:
+            return F.col("data")
+        value, raw = _data_value(rest)
+        return F.when(kind_of(value).isNotNull(), value_text(value, raw))
     if top in ("tags", "source") and not rest:
         return F.to_json(F.col(top))
     text = _scalar(top, rest)

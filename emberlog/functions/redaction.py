@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.model import WHITESPACE
 
+# Executors get the code of the Python step with each task and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REDACTED = "[REDACTED]"
 
 # Keys and patterns redacted when nothing else is configured.
