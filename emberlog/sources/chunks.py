@@ -115,16 +115,18 @@ def _carry(
     before = Window.orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     if levels == 0:
         return df.withColumn(out, F.max(value).over(before.partitionBy(*key)))
-    name = f"_block{levels}"
-    blocked = df.withColumn(name, F.floor(F.col(pos) / block).cast("bigint"))
-    local = blocked.withColumn("_local", F.max(value).over(before.partitionBy(*key, name)))
-    summary = blocked.groupBy(*key, name).agg(F.max(value).alias("_last"))
-    above = _carry(summary, key, name, "_last", "_above", block, levels - 1)
-    above = above.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(name).alias("_kb"), "_above")
-    same = F.col(name) == F.col("_kb")
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = local.join(above, same, "left")
-    return joined.withColumn(out, F.coalesce("_local", "_above")).drop(
-        "_local", "_above", "_kb", name, *[f"_k{i}" for i in range(len(key))]
+    name, local, above = f"_block{levels}", f"_local{levels}", f"_above{levels}"
+    blocked = df.withColumn(name, F.expr(f"{pos} div {block}"))
+    placed = blocked.withColumn(local, F.max(value).over(before.partitionBy(*key, name)))
+    summary = blocked.groupBy(*key, name).agg(F.max(value).alias(value))
+    carried = _carry(summary, key, name, value, above, block, levels - 1)
+    # Few rows: one per block. Keys may be NULL and are renamed to keep both sides apart.
+    names = [f"_key{i}" for i in range(len(key))]
+    lookup = carried.select(
+        *[F.col(k).alias(n) for k, n in zip(key, names)], F.col(name).alias("_at"), above
     )
+    same = F.col(name) == F.col("_at")
+    for k, n in zip(key, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    joined = placed.join(lookup, same, "left")
+    return joined.withColumn(out, F.coalesce(local, above)).drop(name, local, above, "_at", *names)

@@ -63,10 +63,10 @@ def stream_ingest(
 
     The file sink's log and the checkpoint make each event appear once, also after a failure.
     Nothing is kept between batches. Adaptive splitting does not apply to streams, so rows of
-    one service and day are dealt out to a fixed number of tasks.
+    one service and day are dealt out by input split, to a fixed number of tasks.
     """
     events = with_day(prepare(lines, defaults, policy))
-    deal = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    deal = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
     spread = events.withColumn("_deal", deal).repartition("service", "date", "_deal").drop("_deal")
     return (
         spread.writeStream.format("parquet")
