@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+NESTED = ("OBJECT", "ARRAY")
+
 _END = "emberlog-end-of-value"
 
 
@@ -83,19 +85,17 @@ def is_json(text: Column) -> Column:
 def read_items(text: Column) -> Column:
     """Elements of a JSON array as ``array<struct<kind, text>>``.
 
-    ``kind`` is object, array, string or other; ``text`` is the element as compact JSON in
-    its own key order, except that a string element is given bare.
+    ``kind`` is as in :func:`kind_of`; ``text`` is the element as compact JSON in its own key
+    order, except that a string element is given bare.
     """
     typed = F.from_json(text, "array<variant>", STRICT)
     raw = F.from_json(text, "array<string>", STRICT)
 
     def item(v: Column, r: Column) -> Column:
-        kind = kind_of(v)
         return F.struct(
-            kind.alias("kind"),
-            F.when(kind.isin("object", "array"), compact(r))
-            .when(r.isNull(), F.lit("null"))
-            .otherwise(r)
+            kind_of(v).alias("kind"),
+            F.when(kind_of(v).isin(*NESTED), compact(r))
+            .otherwise(F.coalesce(r, F.lit("null")))
             .alias("text"),
         )
 
@@ -103,14 +103,12 @@ def read_items(text: Column) -> Column:
 
 
 def kind_of(v: Column) -> Column:
-    """object, array, string or other for a VARIANT; NULL when there is no value."""
-    shape = F.schema_of_variant(v)
-    return (
-        F.when(shape.startswith("OBJECT"), "object")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape == "STRING", "string")
-        .when(shape.isNotNull(), "other")
-    )
+    """Type of a VARIANT: OBJECT, ARRAY, STRING, VOID (JSON null) or a scalar type's name.
+
+    One evaluation of the type is all it takes, also inside lambdas, where Spark does not
+    share common subexpressions.
+    """
+    return F.substring_index(F.schema_of_variant(v), "<", 1)
 
 
 def string_of(v: Column) -> Column:
@@ -120,8 +118,7 @@ def string_of(v: Column) -> Column:
 
 def quote(text: Column) -> Column:
     """``text`` as a JSON string literal."""
-    wrapped = F.to_json(F.array(text))
-    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 def compact(text: Column) -> Column:
@@ -133,8 +130,8 @@ def value_text(v: Column, raw: Column) -> Column:
     """One value as compact JSON text, from its typed and its raw reading."""
     kind = kind_of(v)
     return (
-        F.when(kind == "string", quote(raw))
-        .when(kind.isin("object", "array"), compact(raw))
+        F.when(kind.isin(*NESTED), compact(raw))
+        .when(kind == "STRING", F.to_json(v))
         .otherwise(F.coalesce(raw, F.lit("null")))
     )
 

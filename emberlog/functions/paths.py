@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.jsontext import kind_of, object_text, quote, value_text
+from emberlog.functions.jsontext import NESTED, kind_of, object_text, quote, value_text
 from emberlog.model import EVENT_FIELDS, SOURCE_TYPE, WHITESPACE
 
 _TOKEN = re.compile(r"\{([a-zA-Z0-9_.]+)\}")
@@ -65,10 +65,7 @@ def _data_value(rest: list[str]) -> tuple[Column, Column]:
     text_path = "$" + "".join(f".{p}" if "'" in p else f"['{p}']" for p in rest)
     value = F.try_variant_get(F.try_parse_json("data"), variant_path, "variant")
     raw = F.get_json_object("data", text_path)
-    kind = kind_of(value)
-    present = F.when(kind.isin("object", "array", "string"), raw).when(
-        kind.isNotNull(), value.cast("string")
-    )
+    present = F.when(kind_of(value).isin(*NESTED, "STRING"), raw).otherwise(value.cast("string"))
     return value, present
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.jsontext import (
+    NESTED,
     STRICT,
     bind,
     compact,
@@ -63,10 +64,12 @@ class Record:
         v = self.field(name)
         kind = kind_of(v)
         text = v.cast("string")
-        set_scalar = (F.schema_of_variant(v) != "VOID") & (text != "false") & F.coalesce(
-            text.try_cast("double") != 0, F.lit(True)
+        empty = (text == "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+        bad = (
+            F.when(kind.isin("STRING", "VOID"), False)
+            .when(kind.isin(*NESTED), True)
+            .otherwise(~empty)
         )
-        bad = kind.isin("object", "array") | ((kind == "other") & set_scalar)
         return F.coalesce(bad, F.lit(False))
 
     def level_known(self, name: str) -> Column:
@@ -89,17 +92,17 @@ class Record:
                 read_items(raw),
                 lambda x, i: F.struct(
                     i.cast("string").alias("key"),
-                    F.when(x["kind"] == "string", x["text"]).alias("value"),
+                    F.when(x["kind"] == "STRING", x["text"]).alias("value"),
                 ),
             ),
             lambda e: e["value"].isNotNull(),
         )
-        found = F.when(kind == "object", texts).when(kind == "array", F.map_from_entries(listed))
+        found = F.when(kind == "OBJECT", texts).when(kind == "ARRAY", F.map_from_entries(listed))
         return F.when(F.size(found) > 0, found)
 
     def source_fields(self) -> dict[str, Column]:
         raw = F.try_element_at(self.raw, F.lit("source"))
-        v = F.when(kind_of(self.field("source")) == "object", raw)
+        v = F.when(kind_of(self.field("source")) == "OBJECT", raw)
         parsed = F.from_json(v, "file variant, line variant, backend_id variant", STRICT)
         return {
             "file": string_of(parsed["file"]),
@@ -108,7 +111,7 @@ class Record:
         }
 
     def has_data(self) -> Column:
-        return F.coalesce(kind_of(self.field("data")).isin("object", "array"), F.lit(False))
+        return F.coalesce(kind_of(self.field("data")).isin(*NESTED), F.lit(False))
 
     def data_json(self) -> Column:
         """``data`` as compact JSON text when it is an object or array, else NULL."""
@@ -138,10 +141,10 @@ class Record:
             texts,
             lambda e, r: F.struct(e["key"].alias("key"), value_text(e["v"], r).alias("text")),
         )
-        return F.when(kind == "object", members).when(kind == "array", listed)
+        return F.when(kind == "OBJECT", members).when(kind == "ARRAY", listed)
 
     def data_is_array(self) -> Column:
-        return F.coalesce(kind_of(self.field("data")) == "array", F.lit(False))
+        return F.coalesce(kind_of(self.field("data")) == "ARRAY", F.lit(False))
 
 
 def _entries(values: Column, raw: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.jsontext import bind, is_json, read_items
+from emberlog.functions.jsontext import NESTED, bind, is_json, read_items
 from emberlog.functions.times import trimmed
 from emberlog.sources.store import event_columns, read_event_object
 
@@ -20,7 +20,7 @@ _ITEMS = "array<struct<kind:string,text:string>>"
 def _items_of(text: Column) -> Column:
     """Items of a valid JSON body: the elements of an array, or the one value."""
     kind = (
-        F.when(text.startswith("{"), "object").when(text.startswith('"'), "string").otherwise("other")
+        F.when(text.startswith("{"), "OBJECT").otherwise("SCALAR")
     )
     single = F.array(F.struct(kind.alias("kind"), text.alias("text"))).cast(_ITEMS)
     return F.when(text.startswith("["), read_items(text)).otherwise(single)
@@ -29,14 +29,14 @@ def _items_of(text: Column) -> Column:
 def _explode_events(df: DataFrame, keys: Sequence[str], items: Column) -> DataFrame:
     rows = df.select(*keys, F.posexplode(items).alias("item_no", "_item"))
     # An array inside an array is an event without any field.
-    text = F.when(F.col("_item.kind") == "array", F.lit("{}")).otherwise(F.col("_item.text"))
+    text = F.when(F.col("_item.kind") == "ARRAY", F.lit("{}")).otherwise(F.col("_item.text"))
     keep = (*keys, "item_no")
     parsed = bind(rows.select(*keep, text.alias("_text")), _event=read_event_object(F.col("_text")))
     return event_columns(parsed, F.col("_event"), keep)
 
 
 def _is_record(item: Column) -> Column:
-    return item["kind"].isin("object", "array")
+    return item["kind"].isin(*NESTED)
 
 
 def ingest_documents(
@@ -70,7 +70,7 @@ def ingest_documents(
 
 
 def _line_item(text: Column) -> Column:
-    kind = F.when(text.startswith("{"), "object").when(text.startswith("["), "array").otherwise("other")
+    kind = F.when(text.startswith("{"), "OBJECT").when(text.startswith("["), "ARRAY").otherwise("SCALAR")
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 

@@ -42,9 +42,9 @@ def _error_fields(value: Column, text: Column) -> Column:
         return name, F.when(found.isNotNull(), quote(found))
 
     return (
-        F.when(kind == "object", object_text(member("name"), member("message"), member("stack")))
-        .when(kind == "array", F.lit("{}"))
-        .when(F.schema_of_variant(value) != "VOID", object_text(("message", quote(value.cast("string")))))
+        F.when(kind == "OBJECT", object_text(member("name"), member("message"), member("stack")))
+        .when(kind == "ARRAY", F.lit("{}"))
+        .when(kind != "VOID", object_text(("message", quote(value.cast("string")))))
     )
 
 

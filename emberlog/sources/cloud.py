@@ -49,7 +49,9 @@ def scan_cloud_logs(
     )
     record = Record()
     parsed = parse_records(rows, trimmed(F.col("_message")))
-    structured = record.has_any(EVENT_FIELDS) & ~record.unreadable_level("level")
+    readable = record.has_any(EVENT_FIELDS) & ~record.unreadable_level("level")
+    parsed = parsed.withColumn("_structured", readable)
+    structured = F.col("_structured")
     raw = F.col("_message")
     raw_text = quote(raw)
     run = F.coalesce("_run", "_id")
@@ -57,10 +59,11 @@ def scan_cloud_logs(
         ("logStreamName", F.when(F.col("_stream").isNotNull(), quote(F.col("_stream")))),
         ("raw_message", raw_text),
     )
-    extra = record.extra_entries()
+    own = F.when(structured & ~record.has_data(), record.extra_entries())
+    parsed = parsed.withColumn("_extra", own)
     record_data = F.coalesce(
         record.data_json(),
-        F.when(F.size(extra) > 0, entries_text(extra)),
+        F.when(F.size("_extra") > 0, entries_text(F.col("_extra"))),
         object_text(("raw_message", raw_text)),
     )
     source = record.source_fields()

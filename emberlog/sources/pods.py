@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.jsontext import bind, entries_text, quote
+from emberlog.functions.jsontext import entries_text, quote
 from emberlog.functions.levels import infer_level
 from emberlog.functions.records import Record, entry_list, overlay, parse_records
 from emberlog.functions.times import coerce_timestamp, event_time_ms, split_log_line, trimmed
@@ -70,15 +70,19 @@ def _map_records(rows: DataFrame, backend_id: str | None) -> DataFrame:
     readable = ~record.unreadable_level("level") & (
         record.level_known("level") | ~record.unreadable_level("severity")
     )
-    structured = record.has_any((*EVENT_FIELDS, *POD_RECORD_KEYS)) & readable
     raw = F.col("_message")
     meta = entry_list(
         ("pod", quote(F.col("_pod"))),
         ("container", F.when(F.col("_container").isNotNull(), quote(F.col("_container")))),
         ("raw_message", quote(raw)),
     )
+    parsed = parsed.withColumns({
+        "_structured": record.has_any((*EVENT_FIELDS, *POD_RECORD_KEYS)) & readable,
+        "_meta": meta,
+    })
+    structured = F.col("_structured")
     own = F.when(record.has_data(), record.data_entries()).otherwise(record.extra_entries())
-    parsed = bind(parsed, _own=F.when(structured, own), _meta=meta)
+    parsed = parsed.withColumn("_own", F.when(structured, own))
     data = F.when(
         structured,
         entries_text(overlay(F.col("_meta"), F.col("_own"), _META, record.data_is_array())),
