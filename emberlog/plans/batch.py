@@ -169,7 +169,8 @@ def search_batch(
         found = events.filter(F.lit(False)).withColumn("search_no", F.lit(0))
     if day:
         found = found.drop(day)
-    part = F.pmod(F.xxhash64("id", "ts", "run_id"), F.lit(_PARTS))
+    # By input task: each task then passes on at most ``keep`` rows of a search.
+    part = F.pmod(F.spark_partition_id(), F.lit(_PARTS))
     parted = Window.partitionBy("search_no", "_part").orderBy(*newest_order())
     final = Window.partitionBy("search_no").orderBy(*newest_order())
     first = (

@@ -21,6 +21,8 @@ SPEED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Batches with large limits, too, drop rows beyond the limit before they are shuffled.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

@@ -31,7 +31,7 @@ def lines_from_chunks(
     no harder than many small ones. Lines inside a chunk come straight from its row. Only the
     ragged ends of chunks are shuffled, to the chunk their line begins in: that is the last
     earlier chunk with a line break, found within blocks of at most ``block`` positions and,
-    across blocks, from one summary row per block. Only the pieces of one line meet in a
+    across blocks, carried over by one row per block. Only the pieces of one line meet in a
     group, and they make up one output row anyway.
     """
     key = list(stream)
@@ -56,7 +56,7 @@ def lines_from_chunks(
         F.get("_pieces", 0).alias("_head"),
         F.when(count > 1, F.element_at("_pieces", -1)).alias("_tail"),
     )
-    placed = _with_opener(ends, key, block, levels)
+    placed = _carry(ends, key, "_seq", "_break", "_opener", block, levels)
     # The head of a chunk continues an earlier line; its tail begins one of its own.
     head = F.struct(
         F.col("_opener").alias("open_seq"),
@@ -104,29 +104,25 @@ def _no_cr(text: Column) -> Column:
     return F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
-def _with_opener(ends: DataFrame, key: list[str], block: int, levels: int) -> DataFrame:
-    """Add ``_opener``: the greatest ``_break`` at an earlier position of the same stream."""
-    return _carry(ends, key, "_seq", "_break", "_opener", block, levels)
-
-
 def _carry(
     df: DataFrame, key: list[str], pos: str, value: str, out: str, block: int, levels: int
 ) -> DataFrame:
-    before = Window.orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    """Add ``out``: the greatest ``value`` at an earlier ``pos`` of the same key.
+
+    Positions are cut into blocks. What the blocks before a block amount to comes from the
+    same computation over one row per block, and enters the block as a leading row, so the
+    wide rows are shuffled once and joined to nothing.
+    """
+    before = Window.orderBy(F.col(pos).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     if levels == 0:
         return df.withColumn(out, F.max(value).over(before.partitionBy(*key)))
-    name, local, above = f"_block{levels}", f"_local{levels}", f"_above{levels}"
+    name = f"_block{levels}"
     blocked = df.withColumn(name, F.expr(f"{pos} div {block}"))
-    placed = blocked.withColumn(local, F.max(value).over(before.partitionBy(*key, name)))
     summary = blocked.groupBy(*key, name).agg(F.max(value).alias(value))
-    carried = _carry(summary, key, name, value, above, block, levels - 1)
-    # Few rows: one per block. Keys may be NULL and are renamed to keep both sides apart.
-    names = [f"_key{i}" for i in range(len(key))]
-    lookup = carried.select(
-        *[F.col(k).alias(n) for k, n in zip(key, names)], F.col(name).alias("_at"), above
+    above = _carry(summary, key, name, value, "_above", block, levels - 1)
+    leads = above.select(*key, name, F.col("_above").alias(value), F.lit(True).alias("_lead"))
+    rows = blocked.withColumn("_lead", F.lit(False))
+    placed = rows.unionByName(leads, allowMissingColumns=True).withColumn(
+        out, F.max(value).over(before.partitionBy(*key, name))
     )
-    same = F.col(name) == F.col("_at")
-    for k, n in zip(key, names):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    joined = placed.join(lookup, same, "left")
-    return joined.withColumn(out, F.coalesce(local, above)).drop(name, local, above, "_at", *names)
+    return placed.filter(~F.col("_lead")).drop("_lead", name)
