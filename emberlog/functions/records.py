@@ -123,6 +123,22 @@ class Record:
             _entries(self.values, self.raw), lambda e: ~e["key"].isin(*EVENT_FIELDS)
         )
 
+    def flat_extra(self) -> Column:
+        """The extra entries as JSON text where none of them is nested, else NULL.
+
+        Printing a map keeps the order of its keys but not of those inside its values.
+        """
+        extra = F.map_filter(self.values, lambda k, v: ~k.isin(*EVENT_FIELDS))
+        nested = F.exists(
+            F.map_values(self.raw), lambda t: F.coalesce(t.rlike(r"^[{\[]"), F.lit(False))
+        )
+        return F.when(~nested, F.to_json(extra))
+
+    def data_has(self, names: Sequence[str]) -> Column:
+        """An object in ``data`` holds one of the names."""
+        keys = F.json_object_keys(F.try_element_at(self.raw, F.lit("data")))
+        return F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, names))), F.lit(False))
+
     def data_entries(self) -> Column:
         """Entries of ``data``; of an array, its elements by position."""
         raw = F.try_element_at(self.raw, F.lit("data"))
@@ -165,6 +181,12 @@ def entry_list(*members: tuple[str, Column]) -> Column:
     ).cast(_ENTRY)
 
 
+def append_text(base: Column, more: Column) -> Column:
+    """Two JSON objects without a common key as one."""
+    joined = F.concat(F.left(base, F.length(base) - 1), F.lit(","), F.substr(more, F.lit(2)))
+    return F.when(more == "{}", base).otherwise(joined)
+
+
 def overlay(base: Column, over: Column, names: Sequence[str], over_first: Column) -> Column:
     """Entries of ``base`` with values replaced by ``over``, then what ``over`` adds.
 

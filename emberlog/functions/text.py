@@ -37,13 +37,21 @@ def trim_message(message: Column, max_chars: int | None, match: str | None = Non
     short = F.concat(*ends)
     if match:
         needle = F.lower(F.lit(match))
-        at = F.instr(F.lower(message), needle)
-        short = F.when(at > 0, _window(message, at - 1, F.length(needle), max_chars)).otherwise(short)
+        found = F.struct(
+            (F.instr(F.lower(message), needle) - 1).alias("at"), F.length(message).alias("total")
+        )
+        ends_only = short
+
+        def shorten(f: Column) -> Column:
+            window = _window(message, f["at"], f["total"], F.length(needle), max_chars)
+            return F.when(f["at"] >= 0, window).otherwise(ends_only)
+
+        # The lambda binds the position, so a long text is searched once.
+        short = F.get(F.transform(F.array(found), shorten), 0)
     return F.when(F.length(message) > max_chars, short).otherwise(message)
 
 
-def _window(message: Column, at: Column, match_len: Column, max_chars: int) -> Column:
-    total = F.length(message)
+def _window(message: Column, at: Column, total: Column, match_len: Column, max_chars: int) -> Column:
     centre = at + F.floor(match_len / 2)
 
     def span(width: Column) -> tuple[Column, Column]:

@@ -19,7 +19,7 @@ _RELATIVE = re.compile(r"([0-9]+)(ms|s|m|h|d)", re.IGNORECASE)
 
 # Spark would read a bare clock time as today's, so a date must come first.
 _DATED = r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2}([T ].*)?)?)?$"
-_NO_SECONDS = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+_NO_SECONDS = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
 def trimmed(text: Column) -> Column:
@@ -29,7 +29,9 @@ def trimmed(text: Column) -> Column:
 def event_time_ms(text: Column) -> Column:
     """Epoch milliseconds of a date text, NULL when it cannot be read; never fails."""
     t = trimmed(text)
-    full = F.when(t.rlike(_NO_SECONDS), F.concat(F.left(t, F.lit(16)), F.lit(":00"), F.substr(t, F.lit(17)))).otherwise(t)
+    # Spark wants seconds before a zone. Only texts as short as that are looked at.
+    brief = F.length(t).between(17, 22) & t.rlike(_NO_SECONDS)
+    full = F.when(brief, F.concat(F.left(t, F.lit(16)), F.lit(":00"), F.substr(t, F.lit(17)))).otherwise(t)
     return F.when(t.rlike(_DATED), F.unix_millis(F.try_to_timestamp(full)))
 
 

@@ -59,10 +59,14 @@ def scan_cloud_logs(
         ("logStreamName", F.when(F.col("_stream").isNotNull(), quote(F.col("_stream")))),
         ("raw_message", raw_text),
     )
-    own = F.when(structured & ~record.has_data(), record.extra_entries())
-    parsed = parsed.withColumn("_extra", own)
+    parsed = parsed.withColumn(
+        "_flat", F.when(structured & ~record.has_data(), record.flat_extra())
+    )
+    nested = structured & ~record.has_data() & F.col("_flat").isNull()
+    parsed = parsed.withColumn("_extra", F.when(nested, record.extra_entries()))
     record_data = F.coalesce(
         record.data_json(),
+        F.when(F.col("_flat") != "{}", F.col("_flat")),
         F.when(F.size("_extra") > 0, entries_text(F.col("_extra"))),
         object_text(("raw_message", raw_text)),
     )

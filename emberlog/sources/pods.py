@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.jsontext import entries_text, quote
+from emberlog.functions.jsontext import entries_text, object_text, quote
 from emberlog.functions.levels import infer_level
-from emberlog.functions.records import Record, entry_list, overlay, parse_records
+from emberlog.functions.records import (
+    Record,
+    append_text,
+    entry_list,
+    overlay,
+    parse_records,
+)
 from emberlog.functions.times import coerce_timestamp, event_time_ms, split_log_line, trimmed
 from emberlog.model import EVENT_FIELDS, EVENT_SCHEMA, POD_RECORD_KEYS
 from emberlog.operators.events import source_struct
@@ -71,22 +77,33 @@ def _map_records(rows: DataFrame, backend_id: str | None) -> DataFrame:
         record.level_known("level") | ~record.unreadable_level("severity")
     )
     raw = F.col("_message")
-    meta = entry_list(
-        ("pod", quote(F.col("_pod"))),
-        ("container", F.when(F.col("_container").isNotNull(), quote(F.col("_container")))),
-        ("raw_message", quote(raw)),
+    pod, container, text = (
+        quote(F.col("_pod")),
+        F.when(F.col("_container").isNotNull(), quote(F.col("_container"))),
+        quote(raw),
     )
+    meta = object_text(("pod", pod), ("container", container), ("raw_message", text))
     parsed = parsed.withColumns({
         "_structured": record.has_any((*EVENT_FIELDS, *POD_RECORD_KEYS)) & readable,
         "_meta": meta,
     })
     structured = F.col("_structured")
+    # The usual record brings no key of ours and nothing nested beside ``data``: its text is
+    # appended as a whole. Others are put together entry by entry.
+    whole = F.when(
+        record.has_data(),
+        F.when(~record.data_is_array() & ~record.data_has(_META), record.data_json()),
+    ).otherwise(F.when(~record.has_any(_META), record.flat_extra()))
+    parsed = parsed.withColumn("_whole", F.when(structured, whole))
+    single = structured & F.col("_whole").isNull()
     own = F.when(record.has_data(), record.data_entries()).otherwise(record.extra_entries())
-    parsed = parsed.withColumn("_own", F.when(structured, own))
-    data = F.when(
-        structured,
-        entries_text(overlay(F.col("_meta"), F.col("_own"), _META, record.data_is_array())),
-    ).otherwise(entries_text(F.filter("_meta", lambda e: e["text"].isNotNull())))
+    parsed = parsed.withColumn("_own", F.when(single, own))
+    entries = entry_list(("pod", pod), ("container", container), ("raw_message", text))
+    data = (
+        F.when(~structured, F.col("_meta"))
+        .when(F.col("_whole").isNotNull(), append_text(F.col("_meta"), F.col("_whole")))
+        .otherwise(entries_text(overlay(entries, F.col("_own"), _META, record.data_is_array())))
+    )
 
     record_ts = record.string("ts")
     found_ts = F.coalesce(
