@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.catalog.registry import query
-from emberlog.catalog.tables import NOW, NOW_MS, R, T, documents, events, ragged, signals
+from emberlog.catalog.tables import (
+    NOW, NOW_MS, R, T, documents, events, ragged, signal_columns, signals,
+)
 from emberlog.functions.jsontext import entries_text
 from emberlog.functions.levels import infer_level, normalize_level
 from emberlog.functions.records import Record, parse_records
@@ -117,10 +119,7 @@ def _(spark, d):
     configure(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    from emberlog.catalog import tables
-
-    columns = tables._fill(tables._SIGNALS, tables._SPARK)
-    lines = _with(raw.select(*[F.expr(e).alias(k) for k, e in columns.items()]), _RAW_LINE).select("value")
+    lines = _with(signal_columns(raw), _RAW_LINE).select("value")
     root, checkpoint = shared_dir(spark, "store"), shared_dir(spark, "progress")
     defaults = IngestDefaults("front", "run-0", NOW_MS, "session-0")
     stream_ingest(lines, root, checkpoint, defaults).awaitTermination()

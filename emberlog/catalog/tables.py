@@ -106,6 +106,11 @@ def _cte(name: str, table: str, columns: dict[str, str]) -> str:
     return f"{name} as (select " + ", ".join(f"{e} as {k}" for k, e in columns.items()) + f" from {table})"
 
 
+def signal_columns(df: DataFrame) -> DataFrame:
+    """Telemetry columns of a frame with the columns of the ``events`` table, also streaming."""
+    return df.select(*[F.expr(e).alias(k) for k, e in _fill(_SIGNALS, _SPARK).items()])
+
+
 def signals(spark: SparkSession, sf_dir: str, extra: dict[str, str] | None = None) -> DataFrame:
     """The ``events`` table as raw columns of telemetry, ``n`` being its row number."""
     columns = {**_SIGNALS, **(extra or {})}
@@ -130,15 +135,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_events(_view(spark, sf_dir, "documents", _fill(_DOCS, _SPARK, _DOC_MS)))
 
 
-def spark_text(expression: str) -> str:
-    """An expression written with {STR}, in Spark's spelling."""
-    return expression.replace("{STR}", "string")
-
-
-def duck_text(expression: str) -> str:
-    return expression.replace("{STR}", "varchar")
-
-
 # The same views for DuckDB, as members of a WITH clause.
 T = _cte("t", "events", _fill(_SIGNALS, _DUCK))
 R = _cte("r", "events", _fill({**_SIGNALS, **_RAGGED}, _DUCK))

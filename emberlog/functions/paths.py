@@ -69,7 +69,7 @@ def _data_value(rest: list[str]) -> tuple[Column, Column]:
     return value, present
 
 
-def _tree(fields: list[str]) -> dict:
+def path_tree(fields: list[str]) -> dict:
     """Nested dict of the requested paths; a leaf (None) stands for the whole value."""
     tree: dict = {}
     for field in fields:
@@ -109,7 +109,7 @@ def event_json(fields: list[str] | None = None, flatten: bool = False) -> Column
                 members.append((name, F.when(inner != "{}", inner)))
         return object_text(*members)
 
-    return render([], _tree(fields))
+    return render([], path_tree(fields))
 
 
 def event_line(template: str | None = None) -> Column:

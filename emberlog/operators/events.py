@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.levels import normalize_level
 from emberlog.functions.redaction import RedactionPolicy, redact_data, redact_tags, redact_text
 from emberlog.functions.times import event_time_ms, iso_text
-from emberlog.model import EVENT_FIELDS, SOURCE_TYPE
+from emberlog.model import EVENT_SCHEMA, SOURCE_TYPE
 
 
 def source_struct(**fields: Column) -> Column:
@@ -89,8 +89,6 @@ def redact_events(df: DataFrame, policy: RedactionPolicy | None = None) -> DataF
 
 def as_events(df: DataFrame) -> DataFrame:
     """Add missing event columns as NULL and put the columns in order."""
-    from emberlog.model import EVENT_SCHEMA
-
     have = set(df.columns)
     columns = []
     for field in EVENT_SCHEMA.fields:
@@ -102,5 +100,3 @@ def as_events(df: DataFrame) -> DataFrame:
             columns.append(F.lit(None).cast(field.dataType).alias(field.name))
     return df.select(*columns)
 
-
-__all__ = ["EVENT_FIELDS", "as_events", "complete_events", "redact_events", "source_struct", "tag_source"]

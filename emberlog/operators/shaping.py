@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.jsontext import quote
-from emberlog.functions.paths import _tree, event_json, event_line, path_text, split_path
+from emberlog.functions.paths import event_json, event_line, path_text, path_tree, split_path
 
 # Ways out offered with a blocked result.
 SUGGESTIONS = (
@@ -35,7 +35,7 @@ def project_fields(df: DataFrame, fields: Sequence[str], flatten: bool = False)
             return _leaf(prefix)
         return F.struct(*[column([*prefix, k], v).alias(k) for k, v in node.items()])
 
-    return df.select(*[column([k], v).alias(k) for k, v in _tree(list(fields)).items()])
+    return df.select(*[column([k], v).alias(k) for k, v in path_tree(list(fields)).items()])
 
 
 def _leaf(parts: list[str]) -> Column:

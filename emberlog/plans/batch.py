@@ -15,12 +15,16 @@ from emberlog.operators.events import redact_events
 from emberlog.operators.shaping import payload_size, row_payload
 from emberlog.operators.topn import is_truncated, newest_order, source_key
 from emberlog.plans.request import SearchRequest, Settings
-from emberlog.plans.search import _cap
+from emberlog.plans.search import char_cap
 
 # Parts a search's hits are ranked in before its final ranking.
 _PARTS = 64
 
 
+def _trimmed(cap: int, match: str | None) -> Column:
+    return trim_message(F.col("message"), cap, match)
+
+
 @dataclass(frozen=True)
 class BatchResult:
     """Answers of all searches: ``rows`` and one ``summary`` line per search."""
@@ -31,31 +35,59 @@ class BatchResult:
     force: bool
     spark: SparkSession
 
-    def _pick(self, per_search, otherwise: Column) -> Column:
-        """A column chosen by the search a row belongs to."""
+    def _value(self, per_search, sql_type: str) -> Column:
+        """A constant chosen by the search a row belongs to."""
+        values = [F.lit(per_search(r) if e is None else None) for _, r, e in self.searches]
+        return F.get(F.array(*values), F.col("search_no")).cast(sql_type)
+
+    def _column(self, per_search, otherwise: Column) -> Column:
+        """A column chosen by the search; searches with the same recipe share it.
+
+        ``per_search`` gives a hashable recipe and a function of it, or None.
+        """
+        numbers: dict = {}
+        for no, (_, request, error) in enumerate(self.searches):
+            recipe = None if error else per_search(request)
+            if recipe is not None:
+                numbers.setdefault(recipe, []).append(no)
         result = otherwise
-        for no, (_, request, error) in reversed(list(enumerate(self.searches))):
-            if error is None:
-                result = F.when(F.col("search_no") == no, per_search(request)).otherwise(result)
+        for (make, *args), nos in numbers.items():
+            result = F.when(F.col("search_no").isin(nos), make(*args)).otherwise(result)
         return result
 
     def _limit(self) -> Column:
-        return self._pick(lambda r: F.lit(r.rows(self.settings)), F.lit(0))
+        return F.coalesce(self._value(lambda r: r.rows(self.settings), "int"), F.lit(0))
+
+    def _cap_of(self) -> Column:
+        default = self.settings.max_output_chars
+        return self._value(lambda r: char_cap(r.max_output_chars, default), "bigint")
 
     def _shaped(self) -> DataFrame:
+        def trim(r: SearchRequest):
+            cap = char_cap(r.max_message_chars, self.settings.max_message_chars)
+            return (_trimmed, cap, r.contains) if cap else None
+
+        def payload(r: SearchRequest):
+            fields = tuple(r.fields) if r.fields else None
+            return row_payload, r.format or "json", fields, bool(r.flatten), r.template
+
         redacted = redact_events(self.hits, self.settings.redaction)
-        trimmed = self._pick(
-            lambda r: trim_message(
-                F.col("message"), _cap(r.max_message_chars, self.settings.max_message_chars), r.contains
-            ),
-            F.col("message"),
-        )
-        whole = redacted.withColumn("_full", F.col("message")).withColumn("message", trimmed)
-        payload = self._pick(
-            lambda r: row_payload(r.format or "json", r.fields, bool(r.flatten), r.template),
-            F.lit(None).cast("string"),
-        )
-        return whole.withColumn("payload", payload)
+        whole = redacted.withColumns({
+            "_full": F.col("message"), "message": self._column(trim, F.col("message")),
+        })
+        shaped = self._column(payload, F.lit(None).cast("string"))
+        return whole.withColumn("payload", shaped)
+
+    def _size(self) -> Column:
+        texts = [
+            no for no, (_, r, e) in enumerate(self.searches) if e is None and r.format == "text"
+        ]
+        payload = F.col("payload")
+        size = payload_size(payload, "json")
+        if texts:
+            in_text = F.col("search_no").isin(texts)
+            size = F.when(in_text, payload_size(payload, "text")).otherwise(size)
+        return size
 
     def rows(self) -> DataFrame:
         """``(search_id, rank, payload)`` with the event columns, best rank first per search.
@@ -63,25 +95,14 @@ class BatchResult:
         Searches whose answer is too large are left out unless the batch is forced; the
         summary names them.
         """
-        shaped = self._shaped().filter(F.col("rank") <= self._limit())
-        if not self.force:
-            # Answers are small (the limits add up), so a window per search is cheap.
-            size = F.sum(self._size()).over(Window.partitionBy("search_no"))
-            shaped = shaped.withColumn("_size", size).filter(
-                self._cap_of().isNull() | (F.col("_size") <= self._cap_of())
-            )
-        return shaped.drop("_full", "_size", "search_no")
-
-    def _size(self) -> Column:
-        return self._pick(
-            lambda r: payload_size(F.col("payload"), r.format or "json"), F.lit(0).cast("bigint")
-        )
-
-    def _cap_of(self) -> Column:
-        def cap(r: SearchRequest) -> Column:
-            return F.lit(_cap(r.max_output_chars, self.settings.max_output_chars)).cast("bigint")
-
-        return self._pick(cap, F.lit(None).cast("bigint"))
+        kept = F.col("rank") <= self._limit()
+        shaped = self._shaped()
+        if self.force:
+            return shaped.filter(kept).drop("_full", "search_no")
+        # Answers are small (the limits add up), so a window per search is cheap.
+        size = F.sum(F.when(kept, self._size())).over(Window.partitionBy("search_no"))
+        fits = F.coalesce(size <= self._cap_of(), F.lit(True))
+        return shaped.withColumn("_fits", kept & fits).filter("_fits").drop("_full", "_fits", "search_no")
 
     def summary(self) -> DataFrame:
         """Per search: rows found, whether cut, size, whether blocked, message sizes, error."""
@@ -156,7 +177,6 @@ def search_batch(
             asked.append((search_id, request, None))
         except InvalidQuery as error:
             asked.append((search_id, request, str(error)))
-    names = {no: asked[no][0] for no, _ in tests}
     if tests:
         any_hit = tests[0][1]
         for _, test in tests[1:]:
@@ -179,16 +199,13 @@ def search_batch(
         .filter(F.col("_rank") <= keep)
         .drop("_rank", "_part")
     )
-    limit = F.lit(0)
-    label = F.lit(None).cast("string")
-    for no, name in names.items():
-        own = F.col("search_no") == no
-        limit = F.when(own, asked[no][1].rows(settings)).otherwise(limit)
-        label = F.when(own, name).otherwise(label)
-    hits = (
-        first.withColumn("rank", F.row_number().over(final))
-        .filter(F.col("rank") <= keep)
-        .filter(F.col("rank") <= limit + 1)
-        .withColumn("search_id", label)
-    )
+    number = F.col("search_no")
+    ids = F.array(*[F.lit(search_id) for search_id, _, _ in asked])
+    most = F.array(*[F.lit(0 if e else r.rows(settings) + 1) for _, r, e in asked])
+    hits = first.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= keep)
+    if asked:
+        hits = hits.filter(F.col("rank") <= F.get(most, number))
+        hits = hits.withColumn("search_id", F.get(ids, number))
+    else:
+        hits = hits.withColumn("search_id", F.lit(None).cast("string"))
     return BatchResult(hits, asked, settings, force, events.sparkSession)

@@ -17,7 +17,8 @@ from emberlog.plans.request import SearchRequest, Settings
 from emberlog.sources.multi import SourceError
 
 
-def _cap(own: float | None, default: float | None) -> int | None:
+def char_cap(own: float | None, default: float | None) -> int | None:
+    """The cap a request gets: its own, else the deployment's; None for no cap."""
     return output_cap(default if own is None else own)
 
 
@@ -40,7 +41,7 @@ class SearchResult:
         return redact_events(rows, self.settings.redaction)
 
     def _trimmed(self, redacted: DataFrame) -> DataFrame:
-        cap = _cap(self.request.max_message_chars, self.settings.max_message_chars)
+        cap = char_cap(self.request.max_message_chars, self.settings.max_message_chars)
         match = self.request.contains
         return redacted.withColumn("message", trim_message(F.col("message"), cap, match))
 

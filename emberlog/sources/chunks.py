@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.times import trimmed
+from emberlog.operators.events import source_struct
 
 # Chunks per window block. Positions below the square of it need two levels of blocks.
 BLOCK = 1 << 16
@@ -32,7 +33,7 @@ def lines_from_chunks(
     ragged ends of chunks are shuffled, to the chunk their line begins in: that is the last
     earlier chunk with a line break, found within blocks of at most ``block`` positions and,
     across blocks, carried over by one row per block. Only the pieces of one line meet in a
-    group, and they make up one output row anyway.
+    group, and they make up one output row anyway (a line must fit a row).
     """
     key = list(stream)
     pieces = F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1)
@@ -97,6 +98,7 @@ def chunk_events(df: DataFrame, **options) -> DataFrame:
         kind.alias("type"),
         F.when(kind == "stderr", "error").otherwise("info").alias("level"),
         F.col("line").alias("message"),
+        source_struct(kind=kind).alias("source"),
     )
 
 

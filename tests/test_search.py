@@ -169,6 +169,13 @@ def test_batch_guard(events):
     assert forced.rows().count() == 302 and not any(r.blocked for r in forced.summary().collect())
 
 
+def test_batch_without_a_valid_search(events):
+    batch = search_batch(events, [("bad", SearchRequest(query="a OR"))], WINDOW)
+    assert batch.rows().count() == 0
+    assert [(r.search_id, r.error) for r in batch.summary().collect()] == [("bad", "Invalid query: Unexpected end of query")]
+    assert search_batch(events, [], WINDOW).rows().count() == 0
+
+
 def test_short_names():
     request = SearchRequest.short(s="svc", q="x", lim=3)
     assert (request.service, request.query, request.limit) == ("svc", "x", 3)
