@@ -144,13 +144,16 @@ def _walker(policy: RedactionPolicy):
     keys = frozenset(policy.key_set())
     patterns = policy.usable_patterns()
 
+    def clean(text, compiled):
+        for pattern in compiled:
+            text = pattern.sub(REDACTED, text)
+        return text
+
     def walk(value, compiled):
         if isinstance(value, _Number):
             return value
         if isinstance(value, str):
-            for pattern in compiled:
-                value = pattern.sub(REDACTED, value)
-            return json.dumps(value, ensure_ascii=False)
+            return json.dumps(clean(value, compiled), ensure_ascii=False)
         if isinstance(value, dict):
             return "{" + ",".join(
                 json.dumps(k, ensure_ascii=False) + ":"
@@ -167,12 +170,15 @@ def _walker(policy: RedactionPolicy):
         try:
             tree = json.loads(text, parse_int=_Number, parse_float=_Number)
         except ValueError:
-            return None
+            # No JSON, so there are no keys to go by.
+            return clean(text, compiled)
         return walk(tree, compiled)
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
         compiled = [_python(p) for p in patterns]
+        # Spark reads JSON up to 1,000 levels deep, and a level takes two frames here.
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
         return pd.Series([one(t, compiled) for t in texts], dtype=object)
 
     return redact

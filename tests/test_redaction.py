@@ -67,6 +67,12 @@ def test_data_details(spark):
     ]
 
 
+def test_deep_and_broken_data(spark):
+    deep = '{"a":' * 900 + '{"token":1}' + "}" * 900
+    found = redacted(spark, [deep, '{"token": Bearer abc'], RedactionPolicy())
+    assert found == [deep.replace("1", '"[REDACTED]"'), '{"token": [REDACTED]']
+
+
 def test_message_patterns_in_order(spark):
     df = spark.createDataFrame([("xx AB end\n",)], "m string")
     policy = RedactionPolicy(keys=(), patterns=("[[x]+", "ab", r"\[redacted\] end", "D]$"))
