@@ -16,12 +16,10 @@ from pyspark.sql import SparkSession
 from emberlog.catalog import QUERIES
 
 HEADLINE = (
-    "sessions", "sessions_topk", "sessions_multi_source", "stats_by_type", "stats_by_level",
-    "stats_by_stage", "stats_multi_source", "message_stats", "search_topn", "search_multi_source",
-    "search_e2e", "search_batch", "tail", "filter_combined", "filter_contains", "query_group",
-    "scan_events", "append_roundtrip", "norm_cloud", "norm_pods", "ingest_bodies",
-    "lines_from_chunks", "redact_message", "redact_data", "project_json", "format_template",
-    "trim_around_match", "output_guard",
+    "sessions", "sessions_multi_source", "stats_by_type", "stats_by_stage", "message_stats",
+    "search_topn", "search_multi_source", "search_e2e", "search_batch", "filter_combined",
+    "query_group", "scan_events", "append_roundtrip", "norm_cloud", "norm_pods",
+    "lines_from_chunks", "redact_message", "redact_data", "trim_around_match", "output_guard",
 )
 
 
