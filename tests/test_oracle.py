@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from emberlog.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,10 +28,10 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
-    df = entry_points.queries()[name](spark, SF)
-    relation = duck.sql(entry_points.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    relation = duck.sql(ORACLES[name])
     columns = sorted(df.columns)
     assert sorted(relation.columns) == columns
     types = dict(zip(relation.columns, map(str, relation.types)))
