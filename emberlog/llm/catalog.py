@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from emberlog.llm import exact_dedup, quality_rules, sharding, url_filter  # noqa: F401
+from emberlog.llm import exact_dedup, jaccard_join, packing, quality_rules, sharding, url_filter  # noqa: F401
 from emberlog.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import fresh, lower_ascii, table, written
+from emberlog.llm.support import bit_lookup, fresh, lower_ascii, table, written
 
 MIN_BITS = 1 << 20
 MAX_BITS = 1 << 30
@@ -95,18 +94,6 @@ def repeated_cells(df: DataFrame, sha: str, bits: int) -> bytes:
     return bytes(out)
 
 
-def _lookup(df: DataFrame, bits: bytes):
-    shared = df.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def again(cell: pd.Series) -> pd.Series:
-        marks = np.frombuffer(shared.value, np.uint8)
-        at = cell.to_numpy()
-        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return again
-
-
 def _filter_bits(rows: int) -> int:
     return min(max(1 << (16 * max(rows, 1) - 1).bit_length(), MIN_BITS), MAX_BITS)
 
@@ -121,7 +108,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "text-hashes",
     )
     bits = _filter_bits(keys.count())
-    again = _lookup(docs, repeated_cells(keys, "sha", bits))
+    again = bit_lookup(docs.sparkSession, repeated_cells(keys, "sha", bits))
     marked = keys.withColumn("again", again(_cell("sha", bits)))
     alone = marked.filter(~F.col("again")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -151,7 +138,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = docs.withColumn(sha, text_hash(F.col(text_col)))
     keys = written(hashed.select(F.col(id_col).alias("id"), F.col(sha).alias("sha")), "text-hashes")
     bits = _filter_bits(keys.count())
-    again = _lookup(docs, repeated_cells(keys, "sha", bits))
+    again = bit_lookup(docs.sparkSession, repeated_cells(keys, "sha", bits))
     best = (
         keys.filter(again(_cell("sha", bits))).groupBy("sha").agg(F.max("id").alias("id"))
         .withColumn("half", F.substring("sha", 1, 16))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import types
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def bit_filter(keys: Column, df: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def bit_lookup(spark: SparkSession, bits: bytes):
+    """A column function: whether the bit at a position is set in a broadcast bit array."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def hit(cell: pd.Series) -> pd.Series:
+        marks = np.frombuffer(shared.value, np.uint8)
+        at = cell.to_numpy()
+        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return hit
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have in any spelling of case."""
     taken, out = {c.lower() for c in df.columns}, []
