@@ -1,6 +1,9 @@
 """Imports the modules that register queries."""
 
-from emberlog.llm import exact_dedup, jaccard_join, packing, quality_rules, sharding, url_filter  # noqa: F401
+from emberlog.llm import (  # noqa: F401
+    exact_dedup, html_text, jaccard_join, language_id, mixing, packing, quality_rules, sharding,
+    toxicity, url_filter,
+)
 from emberlog.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
