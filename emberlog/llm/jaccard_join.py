@@ -14,7 +14,7 @@ documents link when den * |A and B| >= num * |A or B|.
    difference of two sketches never exceeds the size of the sets' difference, so pairs that
    cannot link are dropped without a look at their sets. Within chunks of a list only a spanning
    tree of the closest remaining pairs is emitted and verified with the whole sets, which joins
-   large groups of near copies with few pairs.
+   large groups of near copies with few pairs. Whole sets are made for nodes of such pairs only.
 4. What may still link but lies in different components is emitted from all chunks of a list and
    verified likewise, so that no link between components is lost.
 
@@ -178,28 +178,24 @@ def _key(members: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(mix(members))), int(mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())
 
 
-def _sets(size: int, wanted):
-    """(id, text, cell) of documents in the filter to (id, n, members, sketch)."""
+def _sets(size: int, sketched: bool):
+    """(id, text) to (id, n, sketch) or to (id, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            cell = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            if not hit.any():
-                continue
-            batch = batch.filter(pa.array(hit))
             ids = batch.column(0).to_pylist()
             for words in word_hashes(batch.column(1)):
                 hashes, starts = shingles(words, size)
                 own = [np.unique(hashes[a:b]) for a, b in zip(starts, starts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[words.first : words.first + words.rows], pa.int64()),
-                     pa.array([len(x) for x in own], pa.int32()),
-                     pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())),
-                     pa.array([_sketch(x) for x in own], pa.binary())],
-                    ["id", "n", "members", "sketch"],
-                )
+                id_ = pa.array(ids[words.first : words.first + words.rows], pa.int64())
+                if sketched:
+                    sizes = pa.array([len(x) for x in own], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [id_, sizes, pa.array([_sketch(x) for x in own], pa.binary())], ["id", "n", "sketch"]
+                    )
+                else:
+                    members = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([id_, members], ["id", "members"])
 
     return run
 
@@ -329,16 +325,31 @@ def _pairs(a, b) -> pa.RecordBatch:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _of_nodes(texts: DataFrame, nodes: DataFrame, size: int, sketched: bool) -> DataFrame:
+    """Sketches or whole sets of the documents ``nodes`` (id). A bit filter of bounded size keeps
+    the texts of nearly all other documents from being read into sets; none are shuffled."""
+    nodes = written(nodes.distinct(), "needed")
+    cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    hit = bit_lookup(texts.sparkSession, bit_filter(cell, nodes, FILTER_BITS))
+    schema = "id long, n int, sketch binary" if sketched else "id long, members array<bigint>"
+    near = texts.filter(hit(cell)).mapInArrow(_sets(size, sketched), schema)
+    return near.join(nodes, "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs that link, decided on the whole sets."""
+    pairs = written(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    sets = written(_of_nodes(texts, nodes, size, sketched=False), "sets")
+
     def side(x: str) -> DataFrame:
         return sets.select(F.col("id").alias(x), F.col("members").alias(f"{x}_set"))
 
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
     return (
-        pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        .filter(both * den >= union * num).select("a", "b")
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .filter(both * den >= union * num).select("a", "b").distinct()
     )
 
 
@@ -354,39 +365,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         texts.mapInArrow(
             _digest(size, num, den, ranks),
             "id long, n int, k1 long, k2 long, p1 long, p2 long, prefix array<bigint>",
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "digests",
     )
-    filled = digests.filter("n > 0")
 
     # Nodes: one document of each set. Groups: nodes with the same prefix and size.
-    classes = filled.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"))
-    leaders = filled.withColumnRenamed("id", "node").join(classes, ["n", "k1", "k2", "node"], "left_semi")
-    nodes = leaders.dropDuplicates(["node", "k1", "k2"])
-    grouped = nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count("*").alias("members"))
+    classes = written(
+        digests.filter("n > 0").groupBy("n", "k1", "k2", "p1", "p2")
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+        .select("n", "k1", "k2", "p1", "p2", F.col("best.id").alias("node"), F.col("best.row").alias("row")),
+        "classes",
+    )
+    nodes = classes.filter("node is not null")
+    groups = nodes.groupBy("n", "p1", "p2").agg(
+        F.min(F.struct("node", "row")).alias("first"), F.count("*").alias("members")
+    )
     in_groups = written(
-        nodes.join(grouped, ["n", "p1", "p2"]).select("node", "n", "group", "members", "p1", "prefix"),
+        nodes.join(groups, ["n", "p1", "p2"]).select(
+            "node", "n", "p1", "members", F.col("first.node").alias("group"),
+            (F.col("first.row") == F.col("row")).alias("leads"), "row",
+        ),
         "nodes",
     )
-    lists = _lists(in_groups)
+    heads = digests.select("row", "prefix").join(in_groups.filter("leads").select("row", "group", "members"), "row")
+    lists = _lists(heads.select("group", "members", "prefix"), in_groups)
     placed = written(
         lists.join(in_groups.select("group", "node", "n"), "group").select("token", "node", "n", "length"),
         "lists",
     )
-
-    # Whole sets and sketches of the nodes in lists; other documents' texts are not shuffled.
-    def cell(c):
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-
-    needed = placed.select(F.col("node").alias("id")).distinct()
-    wanted = spark.sparkContext.broadcast(bit_filter(cell("id"), needed, FILTER_BITS))
-    sets = written(
-        texts.select("id", "text", cell("id").alias("cell"))
-        .mapInArrow(_sets(size, wanted), "id long, n int, members array<bigint>, sketch binary")
-        .join(needed, "id", "left_semi"),
-        "sets",
-    )
-    sketches = placed.join(sets.select(F.col("id").alias("node"), "sketch"), "node")
+    found = written(_of_nodes(texts, placed.select(F.col("node").alias("id")), size, sketched=True), "sketches")
+    found = found.select(F.col("id").alias("node"), "sketch")
+    sketches = placed.join(found, "node")
 
     def in_chunks(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -398,7 +407,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         "node", "n", "sketch",
     )
     trees = in_chunks(salted, "token", "band", "salt").mapInArrow(_tree_pairs(num, den), "a long, b long")
-    links = written(_verified(trees, sets, num, den), "links")
+    links = written(_verified(trees, texts, size, num, den), "links")
     labels = components(links)
 
     # Lists that still hold more than one component.
@@ -414,43 +423,53 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     chunked = spread.select(
         "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
         "side", "node", "n", "label",
-    ).join(sets.select(F.col("id").alias("node"), "sketch"), "node")
+    ).join(found, "node")
     cross = in_chunks(
         chunked.select("token", "i", "j", "side", "node", "n", "label", "sketch"), "token", "i", "j"
     ).mapInArrow(_cross_pairs(num, den), "a long, b long")
-    more = written(_verified(cross, sets, num, den), "links")
+    more = written(_verified(cross, texts, size, num, den), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    found = written(
+    settled = written(
         classes.join(labels, "node", "left")
         .select("n", "k1", "k2", F.coalesce("label", "node").alias("component")),
         "components",
     )
-    return digests.join(found, ["n", "k1", "k2"], "left").select(
+    return digests.join(settled, ["n", "k1", "k2"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
 
 
-def _lists(in_groups: DataFrame) -> DataFrame:
+def _lists(heads: DataFrame, in_groups: DataFrame) -> DataFrame:
     """(token, group, length): groups that share a prefix member, lists with the same groups once,
-    and groups of several nodes; ``length`` counts nodes."""
-    heads = in_groups.filter("node = group")
+    and groups of several nodes; ``length`` counts nodes.
+
+    Most members are in the prefix of one group only. Their counts alone are shuffled; a bit filter
+    of the others picks the rows that go on.
+    """
     postings = heads.select("group", "members", F.explode("prefix").alias("token"))
+    common = written(
+        postings.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token"), "tokens"
+    )
+    cell = F.pmod(F.xxhash64("token"), F.lit(FILTER_BITS))
+    hit = bit_lookup(heads.sparkSession, bit_filter(cell, common, FILTER_BITS))
+    shared = written(postings.filter(hit(cell)).join(common, "token", "left_semi"), "postings")
     tokens = (
-        postings.groupBy("token").agg(
+        shared.groupBy("token").agg(
             F.count("*").alias("groups"), F.sum("members").alias("length"),
             F.bit_xor(F.xxhash64("group")).alias("x1"), F.bit_xor(F.xxhash64("group", F.lit(1))).alias("x2"),
         )
-        .filter("groups > 1")
         .groupBy("groups", "length", "x1", "x2").agg(F.min("token").alias("token"))
     )
-    shared = postings.select("token", "group").join(tokens.select("token", "length"), "token")
-    alike = heads.filter("members > 1").select(
+    alike = in_groups.filter("leads and members > 1").select(
         F.col("p1").alias("token"), "group", F.col("members").alias("length")
     )
-    return shared.select("token", "group", "length").union(alike)
+    return (
+        shared.select("token", "group").join(tokens.select("token", "length"), "token")
+        .select("token", "group", "length").union(alike)
+    )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
@@ -458,14 +477,17 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     """The rows that remain when of each component only the document with the smallest id stays;
     rows without an id and with an empty text stay."""
     found = jaccard_components(docs, size, num, den, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
-    gone = written(gone, "dropped")
+    flag, key = fresh(docs, "maybe", "dropped_id")
+    gone = written(
+        found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct(), "dropped"
+    )
     # Rows outside a filter of the dropped ids pass straight through; the others are shuffled.
-    (flag,) = fresh(docs, "maybe")
-    cell = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
-    bits = bit_filter(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)), gone, FILTER_BITS)
-    marked = docs.withColumn(flag, bit_lookup(docs.sparkSession, bits)(cell))
-    maybe = marked.filter(flag).alias("d").join(gone, F.col(f"d.{id_col}") == F.col("id"), "left_anti")
+    def cell(c: str):
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+
+    hit = bit_lookup(docs.sparkSession, bit_filter(cell(key), gone, FILTER_BITS))
+    marked = docs.withColumn(flag, hit(cell(id_col)))
+    maybe = marked.filter(flag).join(gone, F.col(id_col) == F.col(key), "left_anti")
     return marked.filter(~F.col(flag)).select(*docs.columns).unionByName(maybe.select(*docs.columns))
 
 
