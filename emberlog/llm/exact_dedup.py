@@ -4,8 +4,8 @@ Pass 1 marks, in a bit array of one hash function, the cells that two or more ro
 Pass 2 looks every row up: a row in an unmarked cell is the only one with its text and passes
 straight through; the others alone are shuffled and settled by their whole SHA-256.
 
-The bit array has about 16 bits for each row, up to ``MAX_BITS`` (128 MB in memory, the most
-that is ever broadcast). Beyond that bound more rows are possibly repeated and take the shuffle;
+The bit array has about 16 bits for each row, up to ``MAX_BITS`` (4 million 64-bit words,
+about 130 MB as a broadcast table). Beyond that bound more rows are possibly repeated and take the shuffle;
 results stay the same.
 
 NULL texts count as empty, empty texts equal each other. Of equal texts the row with the largest
@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import bit_lookup, fresh, lower_ascii, table, written
+from emberlog.llm.support import fresh, lower_ascii, table, with_bit, written
 
 MIN_BITS = 1 << 20
-MAX_BITS = 1 << 30
+MAX_BITS = 1 << 28
 _SEGMENT = 1 << 18
 
 
@@ -55,43 +55,40 @@ def _task_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each segment, rows sorted by it, the bits of the cells met in two rows or more."""
+    """For each segment, rows sorted by it, the cells met in two rows or more, as 64-bit words."""
     at, once, twice = None, None, None
 
     def done():
-        return pa.RecordBatch.from_pydict({
-            "seg": pa.array([at], pa.int64()),
-            "bits": [np.packbits(twice, bitorder="little").tobytes()],
-        })
+        words = np.packbits(twice, bitorder="little").view(np.int64)
+        filled = np.flatnonzero(words)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(filled + at * (_SEGMENT // 64)), pa.array(words[filled])], ["word", "bits"]
+        )
 
     for batch in batches:
         for seg, cells, again in zip(*(c.to_pylist() for c in batch.columns)):
             if seg != at:
-                if at is not None and twice.any():
+                if at is not None:
                     yield done()
                 at, once, twice = seg, np.zeros(_SEGMENT, bool), np.zeros(_SEGMENT, bool)
             cells = np.frombuffer(cells, np.uint32)
             twice[cells[once[cells]]] = True
             twice[np.frombuffer(again, np.uint32)] = True
             once[cells] = True
-    if at is not None and twice.any():
+    if at is not None:
         yield done()
 
 
-def repeated_cells(df: DataFrame, sha: str, bits: int) -> bytes:
-    """The bit array of the cells that two or more rows fall into: ``bits`` / 8 bytes."""
-    rows = (
+def repeated_cells(df: DataFrame, sha: str, bits: int) -> DataFrame:
+    """The words of the bit array of the cells that two or more rows fall into."""
+    return written(
         df.select(_cell(sha, bits).alias("cell"))
         .mapInArrow(_task_cells, "seg long, cells binary, again binary")
         .repartition("seg")
         .sortWithinPartitions("seg")
-        .mapInArrow(_merge_cells, "seg long, bits binary")
-        .collect()
+        .mapInArrow(_merge_cells, "word long, bits long"),
+        "repeated",
     )
-    out, width = bytearray(bits // 8), _SEGMENT // 8
-    for r in rows:
-        out[r["seg"] * width : (r["seg"] + 1) * width] = r["bits"]
-    return bytes(out)
 
 
 def _filter_bits(rows: int) -> int:
@@ -108,8 +105,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "text-hashes",
     )
     bits = _filter_bits(keys.count())
-    again = bit_lookup(docs.sparkSession, repeated_cells(keys, "sha", bits))
-    marked = keys.withColumn("again", again(_cell("sha", bits)))
+    words = repeated_cells(keys, "sha", bits)
+    marked = with_bit(keys, _cell("sha", bits), words, "again")
     alone = marked.filter(~F.col("again")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha",
@@ -138,12 +135,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = docs.withColumn(sha, text_hash(F.col(text_col)))
     keys = written(hashed.select(F.col(id_col).alias("id"), F.col(sha).alias("sha")), "text-hashes")
     bits = _filter_bits(keys.count())
-    again = bit_lookup(docs.sparkSession, repeated_cells(keys, "sha", bits))
+    words = repeated_cells(keys, "sha", bits)
     best = (
-        keys.filter(again(_cell("sha", bits))).groupBy("sha").agg(F.max("id").alias("id"))
+        with_bit(keys, _cell("sha", bits), words, "again").filter("again").groupBy("sha").agg(F.max("id").alias("id"))
         .withColumn("half", F.substring("sha", 1, 16))
     )
-    marked = hashed.withColumn(flag, again(_cell(sha, bits)))
+    marked = with_bit(hashed, _cell(sha, bits), words, flag)
     alone = marked.filter(~F.col(flag)).select(*docs.columns)
     rest = marked.filter(flag).withColumn(half, F.substring(sha, 1, 16)).alias("r")
     b = best.alias("b")

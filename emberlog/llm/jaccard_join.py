@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
 from emberlog.llm.registry import query
-from emberlog.llm.support import bit_filter, bit_lookup, fresh, table, written
+from emberlog.llm.support import bit_words, fresh, table, with_bit, written
 from emberlog.llm.words import mix, shingles, word_hashes
 
 COUNTERS = 1 << 22  # counters of shingles; the table broadcast for the order has as many bytes
 CHUNK = 512  # nodes of a list that are compared within one task at a time
 SKETCH_BITS = 4096
-FILTER_BITS = 1 << 27  # of the filter for documents whose sets are needed, 16 MB at most
+FILTER_BITS = 1 << 27  # of filters of ids and members: 2 million words at most
 _PART = 1 << 16
 
 
@@ -327,12 +327,12 @@ def _pairs(a, b) -> pa.RecordBatch:
 
 def _of_nodes(texts: DataFrame, nodes: DataFrame, size: int, sketched: bool) -> DataFrame:
     """Sketches or whole sets of the documents ``nodes`` (id). A bit filter of bounded size keeps
-    the texts of nearly all other documents from being read into sets; none are shuffled."""
+    nearly all other documents out; texts are not shuffled."""
     nodes = written(nodes.distinct(), "needed")
     cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    hit = bit_lookup(texts.sparkSession, bit_filter(cell, nodes, FILTER_BITS))
+    words = bit_words(nodes.select(cell.alias("cell")))
     schema = "id long, n int, sketch binary" if sketched else "id long, members array<bigint>"
-    near = texts.filter(hit(cell)).mapInArrow(_sets(size, sketched), schema)
+    near = with_bit(texts, cell, words, "near").filter("near").select("id", "text").mapInArrow(_sets(size, sketched), schema)
     return near.join(nodes, "id", "left_semi")
 
 
@@ -454,8 +454,8 @@ def _lists(heads: DataFrame, in_groups: DataFrame) -> DataFrame:
         postings.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token"), "tokens"
     )
     cell = F.pmod(F.xxhash64("token"), F.lit(FILTER_BITS))
-    hit = bit_lookup(heads.sparkSession, bit_filter(cell, common, FILTER_BITS))
-    shared = written(postings.filter(hit(cell)).join(common, "token", "left_semi"), "postings")
+    near = with_bit(postings, cell, bit_words(common.select(cell.alias("cell"))), "near").filter("near")
+    shared = written(near.drop("near").join(common, "token", "left_semi"), "postings")
     tokens = (
         shared.groupBy("token").agg(
             F.count("*").alias("groups"), F.sum("members").alias("length"),
@@ -485,8 +485,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     def cell(c: str):
         return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
 
-    hit = bit_lookup(docs.sparkSession, bit_filter(cell(key), gone, FILTER_BITS))
-    marked = docs.withColumn(flag, hit(cell(id_col)))
+    marked = with_bit(docs, cell(id_col), bit_words(gone.select(cell(key).alias("cell"))), flag)
     maybe = marked.filter(flag).join(gone, F.col(id_col) == F.col(key), "left_anti")
     return marked.filter(~F.col(flag)).select(*docs.columns).unionByName(maybe.select(*docs.columns))
 

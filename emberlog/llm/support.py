@@ -1,12 +1,10 @@
-"""Scratch tables, bounded hash filters and small helpers shared by the operators."""
+"""Scratch tables, bounded bit arrays and small helpers shared by the operators."""
 
 from __future__ import annotations
 
 import sys
 import types
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,36 +41,29 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_emberlog_cache", types.ModuleType("_emberlog_cache")).__dict__
 
 
-def bit_filter(keys: Column, df: DataFrame, bits: int) -> bytes:
-    """A bit array of ``bits`` (a multiple of 32768) with the bit of each key set.
-
-    ``keys`` holds positions from 0 to ``bits`` - 1. At most ``bits`` / 8 bytes reach the driver,
-    however many rows there are.
-    """
-    rows = (
-        df.select((keys + 1).alias("p"))  # the bitmap functions count from 1
-        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
-        .collect()
+def bit_words(cells: DataFrame) -> DataFrame:
+    """(word, bits): a bit array with the bits at the positions of the one column of ``cells`` set,
+    as those of its 64-bit words that are not zero. Written, so that its size is known."""
+    (cell,) = cells.columns
+    return written(
+        cells.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, cast({cell} & 63 as int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")),
+        "bits",
     )
-    out = bytearray(bits // 8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = r["map"]
-    return bytes(out)
 
 
-def bit_lookup(spark: SparkSession, bits: bytes):
-    """A column function: whether the bit at a position is set in a broadcast bit array."""
-    shared = spark.sparkContext.broadcast(bits)
+def with_bit(df: DataFrame, cell: Column, words: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean column: whether the bit at a position is set.
 
-    @F.pandas_udf("boolean")
-    def hit(cell: pd.Series) -> pd.Series:
-        marks = np.frombuffer(shared.value, np.uint8)
-        at = cell.to_numpy()
-        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return hit
+    The words are broadcast: a bit array of n bits has n / 64 words at most, whatever the number
+    of rows, and callers bound n.
+    """
+    word, bits, at = fresh(df, "bit_word", "bit_bits", "bit_cell")
+    table_ = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    placed = df.withColumn(at, cell)
+    joined = placed.join(F.broadcast(table_), F.shiftright(at, 6) == F.col(word), "left")
+    is_set = F.expr(f"coalesce((shiftright({bits}, cast({at} & 63 as int)) & 1L) = 1L, false)")
+    return joined.select(*df.columns, is_set.alias(flag))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

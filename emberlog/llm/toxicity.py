@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import bit_filter, bit_lookup, table, written
+from emberlog.llm.support import bit_words, table, with_bit, written
 from emberlog.llm.words import Words, mix, word_hashes
 
 FEATURES = 1 << 20
@@ -124,7 +124,6 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The weights learned from labelled documents outside of the held-out fold."""
-    spark = docs.sparkSession
     known = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))
     sample = written(
         labels.filter(known)
@@ -134,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "labels",
     )
     cell = F.pmod("draw", F.lit(FILTER_BITS))
-    hit = bit_lookup(spark, bit_filter(cell, sample, FILTER_BITS))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    near = texts.filter(hit(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))))
+    words = bit_words(sample.select(cell.alias("cell")))
+    near = with_bit(texts, F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)), words, "near").filter("near")
     return _collected(
         near.join(sample, near["id"] == sample["label_id"]).select("draw", "toxic", "text")
         .mapInArrow(_extract, "draw long, toxic int, places binary")
