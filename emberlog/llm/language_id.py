@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,11 +126,11 @@ def text_evidence(docs: DataFrame, model: np.ndarray):
     """A column function: log-likelihood of a text in each language; NULL without a trigram."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def evidence(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def evidence(text: pa.Array) -> pa.Array:
         table_ = shared.value
         out = []
-        for _, rows, row, cell in trigram_cells(pa.Array.from_pandas(text, type=pa.string())):
+        for _, rows, row, cell in trigram_cells(text):
             n = np.bincount(row, minlength=rows)
             total = np.stack(
                 [np.bincount(row, weights=table_[cell, k], minlength=rows) for k in range(table_.shape[1])],
@@ -139,7 +138,7 @@ def text_evidence(docs: DataFrame, model: np.ndarray):
             ) if table_.shape[1] else np.zeros((rows, 0))
             scaled = total * (np.minimum(n, TEXT_WEIGHT) / np.maximum(n, 1))[:, None]
             out += [x if k else None for x, k in zip(scaled, n)]
-        return pd.Series(out, index=text.index, dtype=object)
+        return pa.array(out, pa.list_(pa.float64()))
 
     return evidence
 
@@ -197,11 +196,12 @@ def identify(docs: DataFrame, declared: str, host: str, text_col: str = "text",
     evidence = text_evidence(docs, model)
     text, h, dom, prior_h, prior_d = fresh(docs, "evidence", "host_key", "domain_key", "prior_host", "prior_domain")
     host_domain = F.substring_index(F.col(host).cast("string"), ".", -2)
-    priors = host_priors(
+    # Written, so that its size is known when the join with the documents is planned.
+    priors = written(host_priors(
         docs.select(F.col(host).cast("string").alias("host"), host_domain.alias("domain"),
                     evidence(F.col(text_col)).alias("e")).select("host", "domain", _best(F.col("e")).alias("best")),
         len(languages),
-    ).select(F.col("host").alias(prior_h), F.col("domain").alias(prior_d), "prior")
+    ), "priors").select(F.col("host").alias(prior_h), F.col("domain").alias(prior_d), "prior")
     (prior,) = fresh(docs, "log_prior")
     priors = priors.withColumnRenamed("prior", prior)
     seen = docs.withColumns({h: F.col(host).cast("string"), dom: host_domain})
