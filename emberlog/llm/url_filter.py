@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import UPPER, fresh, table
+from emberlog.llm.support import UPPER, fresh, table, written
 
 BLOCK_ABOVE = 0.5
 Z = 1.645
@@ -127,32 +127,37 @@ def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
     return a / n - F.lit(z) * F.sqrt(a * b / (n * n * (n + 1)))
 
 
+def host_rates(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(host, domain, a, b) for every row of ``hosts`` (host): its own posterior, else that of its
+    domain, of its suffix or of all."""
+    known, domains, suffixes, top = (written(x, "reputation") for x in host_reputation(written(outcomes, "outcomes")))
+    rows = hosts.select(
+        "host", last_labels(F.col("host"), DOMAIN_LABELS).alias("domain"),
+        last_labels(F.col("host"), 1).alias("suffix"), F.lit(0).alias("top"),
+    )
+    for k, (level, link) in enumerate(((known, "host"), (domains, "domain"), (suffixes, "suffix"), (top, "top"))):
+        rows = rows.join(level.select(link, F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")), link, "left")
+    pick = [F.coalesce(*(F.col(f"{x}{k}") for k in range(4)), F.lit(1.0)) for x in "ab"]
+    return rows.select("host", "domain", pick[0].cast("double").alias("a"), pick[1].cast("double").alias("b"))
+
+
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES,
                url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict, bad_rate and bad_bound; ``outcomes`` are rows
     (host, bad, n)."""
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "bad_rate", "bad_bound")]
-    domain, suffix = fresh(pages, "url_domain", "url_suffix")
     split = pages.select(
         *keep, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
-    ).withColumns({domain: last_labels(F.col("host"), DOMAIN_LABELS), suffix: last_labels(F.col("host"), 1)})
-    hosts, domains, suffixes, top = host_reputation(outcomes)
-    # Hosts are joined by two columns: their table was summed by one, so both sides are
-    # shuffled anew if it is too large to broadcast, and a large host can be split.
-    tables = (
-        (hosts.select(F.col("host").alias("h"), F.col("domain").alias("hd"), F.col("a").alias("a0"), F.col("b").alias("b0")),
-         (F.col("host") == F.col("h")) & (F.col(domain) == F.col("hd"))),
-        (domains.select(F.col("domain").alias("d"), F.col("suffix").alias("ds"), F.col("a").alias("a1"), F.col("b").alias("b1")),
-         (F.col(domain) == F.col("d")) & (F.col(suffix) == F.col("ds"))),
-        (suffixes.select(F.col("suffix").alias("s"), F.col("top").alias("st"), F.col("a").alias("a2"), F.col("b").alias("b2")),
-         (F.col(suffix) == F.col("s")) & (F.lit(0) == F.col("st"))),
-        (top.select(F.col("top").alias("t"), F.col("a").alias("a3"), F.col("b").alias("b3")), F.lit(0) == F.col("t")),
     )
-    joined = split
-    for level, on in tables:
-        joined = joined.join(level, on, "left")
-    a = F.coalesce("a0", "a1", "a2", "a3", F.lit(1.0))
-    b = F.coalesce("b0", "b1", "b2", "b3", F.lit(1.0))
+    rates = written(host_rates(split.select("host").distinct(), outcomes), "reputation")
+    # Joined by two columns, so that both sides are shuffled for the join if the table is too
+    # large to broadcast, and adaptive execution can split a large host.
+    key, domain, a_, b_ = fresh(split, "rated_host", "rated_domain", "rated_a", "rated_b")
+    rates = rates.toDF(key, domain, a_, b_)
+    joined = split.join(
+        rates, (F.col("host") == F.col(key)) & (last_labels(F.col("host"), DOMAIN_LABELS) == F.col(domain)), "left"
+    )
+    a, b = F.coalesce(a_, F.lit(1.0)), F.coalesce(b_, F.lit(1.0))
     host, path = F.col("host"), F.col("path")
     rated = joined.select(*keep, host, path, (a / (a + b)).alias("bad_rate"), lower_bound(a, b).alias("bad_bound"))
     method = F.when(F.col("bad_bound") > BLOCK_ABOVE, "block").otherwise("allow")
