@@ -18,15 +18,22 @@ from emberlog.plans.batch import search_batch
 from emberlog.plans.request import SearchRequest, Settings
 from emberlog.plans.search import search
 
-# The default patterns and one for mail addresses, in RE2 spelling.
+# The default patterns and one for mail addresses, in RE2 spelling, one that looks behind without a
+# bound, one with braces that repeat nothing, and two that cannot be compiled.
 _MAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"
-_POLICY = RedactionPolicy(patterns=(*RedactionPolicy().patterns, _MAIL, "(unclosed"))
+_POLICY = RedactionPolicy(patterns=(
+    *RedactionPolicy().patterns, _MAIL, r"(?<=user\s*)\d+", "{by:[^}]+}", "(unclosed", "(?P<name>x)",
+))
 
 
 def _duck_redacted(text: str, mail: bool = True) -> str:
     out = f"regexp_replace({text}, '(?i)sk-[A-Za-z0-9]{{20,}}', '[REDACTED]', 'g')"
     out = f"regexp_replace({out}, '(?i)Bearer\\s+[A-Za-z0-9._-]+', '[REDACTED]', 'g')"
-    return f"regexp_replace({out}, '(?i){_MAIL}', '[REDACTED]', 'g')" if mail else out
+    if not mail:
+        return out
+    out = f"regexp_replace({out}, '(?i){_MAIL}', '[REDACTED]', 'g')"
+    out = f"regexp_replace({out}, '(?i)(user\\s*)\\d+', '\\1[REDACTED]', 'g')"
+    return f"regexp_replace({out}, '(?i)\\{{by:[^}}]+\\}}', '[REDACTED]', 'g')"
 
 
 _MESSAGES = f"""{T}, {C}, {D}, m as (select id, message, level, type from t union all
@@ -38,9 +45,12 @@ def _messages(spark, d) -> DataFrame:
     return frames[0].unionAll(frames[1]).unionAll(frames[2])
 
 
-@query("redact_message", f"with {_MESSAGES} select id, {_duck_redacted('message')} as message from m")
+_BRACED = "'{by:' || id || '} ' || message"
+
+
+@query("redact_message", f"with {_MESSAGES} select id, {_duck_redacted(_BRACED)} as message from m")
 def _(spark, d):
-    return _messages(spark, d).select("id", redact_text(F.col("message"), _POLICY).alias("message"))
+    return _messages(spark, d).select("id", redact_text(F.expr(_BRACED), _POLICY).alias("message"))
 
 
 @query(
@@ -74,15 +84,32 @@ _SECRETS_CLEAN = f"""concat('{{"api_key":"[REDACTED]","note":"', {_duck_redacted
     '",{{"password":"[REDACTED]","ok":true}}]}}}}')"""
 
 
+# Deeper than any JSON function walks.
+_DEEP = "concat(repeat('{{\"a\":', 20000), {0}, repeat('}}', 20000))"
+
+
 @query(
     "redact_data",
-    f"""with {T} select id, case when n % 3 = 0 then {_SECRETS_CLEAN} else data end as data from t""",
+    f"""with {T} select id, case when n % 997 = 0 then {_DEEP.format("'{\"token\":\"[REDACTED]\"}'")}
+        when n % 3 = 0 then {_SECRETS_CLEAN} else data end as data from t""",
 )
 def _(spark, d):
-    data = F.expr(f"case when n % 3 = 0 then {_SECRETS} else data end")
+    deep = _DEEP.format("'{\"token\":1}'")
+    data = F.expr(f"case when n % 997 = 0 then {deep} when n % 3 = 0 then {_SECRETS} else data end")
     return signals(spark, d).select("id", redact_data(data, RedactionPolicy()).alias("data"))
 
 
+@query(
+    "redact_texts",
+    f"""with {_MESSAGES} select id, concat('{{"note":', cast(to_json({_duck_redacted("coalesce(message, '')")}) as varchar),
+        ',"Token":"[REDACTED]"}}') as data from m""",
+)
+def _(spark, d):
+    """Whole texts of conversations and documents as nested data, with their escapes."""
+    note = F.to_json(F.struct(F.coalesce("message", F.lit("")).alias("note"), F.col("id").alias("Token")))
+    return _messages(spark, d).select("id", redact_data(note, _POLICY).alias("data"))
+
+
 @query(
     "redact_events",
     f"""with {T} select id, {_duck_redacted("message", mail=False)} as message,

@@ -1,14 +1,21 @@
-"""Replacing secrets in messages, tags and nested data."""
+"""Replacing secrets in messages, tags and nested data.
+
+All text is matched by Spark's own regular expressions. The one Python step takes nested ``data``
+apart into its frame and its strings and knows no patterns.
+"""
 
 from __future__ import annotations
 
 import json
 import re
 import sys
+import warnings
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import cloudpickle
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext, cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +30,16 @@ REDACTED = "[REDACTED]"
 DEFAULT_KEYS = ("authorization", "api_key", "token", "secret", "password")
 DEFAULT_PATTERNS = (r"sk-[A-Za-z0-9]{20,}", r"Bearer\s+[A-Za-z0-9._-]+")
 
+# How far an open repetition inside a look-behind may reach; Java wants a bound.
+LOOK_BEHIND = 1000
+
 
 @dataclass(frozen=True)
 class RedactionPolicy:
     """What to redact: values of listed keys, and text matching the patterns, in order.
 
-    Patterns ignore case. Patterns that are no valid regular expression are skipped.
+    Patterns ignore case. Those that Java cannot compile do not take part; they are listed by
+    :meth:`unusable_patterns`, and using the policy warns of them.
     """
 
     keys: tuple[str, ...] = DEFAULT_KEYS
@@ -42,57 +53,79 @@ class RedactionPolicy:
     def usable_patterns(self) -> list[str]:
         return [p for p in self.patterns if _compiles(p)]
 
+    def unusable_patterns(self) -> list[str]:
+        return [p for p in self.patterns if not _compiles(p)]
+
+
+_TOKEN = re.compile(r"\\[pP]\{[^}]*\}|\\.|\(\?<[=!]|\{\d+(?:,\d*)?\}|.", re.DOTALL)
 
-def _portable(pattern: str, end: str, group: str) -> str:
-    """Spell a pattern so that Java and Python read it alike.
 
-    White space is the full set, ``$`` is the very end, and ``[`` inside a class is literal.
+def _java(pattern: str) -> str:
+    """A pattern of ECMAScript as Java spells it.
+
+    White space is the full set, ``$`` is the very end, ``[`` inside a class and braces that
+    repeat nothing are literal, and repetitions inside a look-behind get a bound.
     """
-    out, in_class = [], False
-    for token in re.findall(r"\\.|\(\?<(?=[A-Za-z_])|.", pattern, re.DOTALL):
+    out, in_class, depth, behind = [], False, 0, []
+    for token in _TOKEN.findall(pattern):
         if token == r"\s":
             token = WHITESPACE if in_class else f"[{WHITESPACE}]"
-        elif token == "[" and in_class:
-            token = r"\["
+        elif in_class:
+            in_class = token != "]"
+            token = r"\[" if token == "[" else token
         elif token == "[":
             in_class = True
-        elif token == "]":
-            in_class = False
-        elif token == "$" and not in_class:
-            token = end
-        elif token == "(?<" and not in_class:
-            token = group
+        elif token == "$":
+            token = r"\z"
+        elif token == "{":
+            token = r"\{"
+        elif token.startswith("("):
+            depth += 1
+            if token != "(":
+                behind.append(depth)
+        elif token == ")":
+            if behind and behind[-1] == depth:
+                behind.pop()
+            depth -= 1
+        elif behind and token in ("*", "+"):
+            token = f"{{{int(token == '+')},{LOOK_BEHIND}}}"
+        elif behind and token.endswith(",}"):
+            token = f"{token[:-1]}{LOOK_BEHIND}}}"
         out.append(token)
-    return "".join(out)
-
-
-def _java(pattern: str) -> str:
-    return "(?i)" + _portable(pattern, r"\z", "(?<")
-
-
-def _python(pattern: str) -> re.Pattern[str]:
-    return re.compile(_portable(pattern, r"\Z", "(?P<"), re.IGNORECASE | re.ASCII)
+    return "(?i)" + "".join(out)
 
 
 def _compiles(pattern: str) -> bool:
     try:
-        _python(pattern)
-    except re.error:
+        SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(_java(pattern))
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 
 
+def _warn(policy: RedactionPolicy) -> None:
+    unusable = policy.unusable_patterns()
+    if unusable:
+        warnings.warn(f"redaction patterns without effect: {unusable}", stacklevel=3)
+
+
 def redact_text(text: Column, policy: RedactionPolicy) -> Column:
-    for pattern in policy.usable_patterns():
+    _warn(policy)
+    return _clean(text, policy.usable_patterns())
+
+
+def _clean(text: Column, patterns: list[str]) -> Column:
+    for pattern in patterns:
         text = F.regexp_replace(text, F.lit(_java(pattern)), F.lit(REDACTED))
     return text
 
 
 def redact_tags(tags: Column, policy: RedactionPolicy) -> Column:
-    keys = policy.key_set()
+    keys, patterns = policy.key_set(), policy.usable_patterns()
+    _warn(policy)
 
     def value(k: Column, v: Column) -> Column:
-        clean = redact_text(v, policy)
+        clean = _clean(v, patterns)
         return F.when(F.lower(k).isin(keys), F.lit(REDACTED)).otherwise(clean) if keys else clean
 
     return F.transform_values(tags, value)
@@ -102,37 +135,48 @@ def redact_data(data: Column, policy: RedactionPolicy) -> Column:
     """Redact a JSON text at any depth.
 
     A listed key has its whole value replaced, whatever its type; strings elsewhere are
-    matched against the patterns; keys, numbers and other values stay. Depth is unbounded,
-    which no built-in function walks, so this is the one Python step of the library. Rows
-    that cannot hold anything to redact are recognised by built-in functions and reach
-    Python as NULL, which costs nothing to send.
+    matched against the patterns; keys, numbers and other values stay. Text that is no JSON
+    is matched as a whole. Depth is unbounded, which no built-in function walks: the Python
+    step returns the text between the strings and the strings, which Spark cleans and puts
+    back. What it cannot take apart for any other reason is replaced as a whole. Rows that
+    cannot hold anything to redact are recognised by built-in functions and reach Python as
+    NULL, which costs nothing to send.
     """
-    suspicious = _suspicious(data, policy)
-    if suspicious is None:
+    keys, patterns = policy.key_set(), policy.usable_patterns()
+    _warn(policy)
+    if not keys and not patterns:
         return data
-    walk = _walker(policy)
-    return F.coalesce(walk(F.when(suspicious, data)), data)
+    apart = _splitter(keys)(F.when(_suspicious(data, keys, patterns), data))
+
+    def quoted(leaf: Column) -> Column:
+        text = F.to_json(F.array(_clean(leaf, patterns)))
+        return F.coalesce(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
 
+    def whole(parts: Column) -> Column:
+        frame, leaves = parts[0], parts[1]
+        joined = F.array_join(
+            F.zip_with(frame, leaves, lambda f, x: F.concat(f, F.when(x.isNull(), "").otherwise(quoted(x)))), ""
+        )
+        return F.when(F.size(frame) == 0, _clean(leaves[0], patterns)).otherwise(joined)
 
-def _suspicious(data: Column, policy: RedactionPolicy) -> Column | None:
+    # Bound once, so that the Python step stands in the plan once.
+    clean = F.transform(F.array(apart), lambda p: F.when(p.isNotNull(), whole(p)))[0]
+    return F.coalesce(clean, data)
+
+
+def _suspicious(data: Column, keys: list[str], patterns: list[str]) -> Column:
     """Rows that may hold something to redact (may say yes too often, never no wrongly)."""
-    keys, patterns = policy.key_set(), policy.usable_patterns()
-    if not keys and not patterns:
-        return None
     # Escapes hide characters from a search over the raw text.
-    tests = [F.contains(data, F.lit("\\"))]
+    found = F.contains(data, F.lit("\\"))
     if keys:
-        quoted = "|".join(re.escape(k) for k in keys)
-        tests.append(data.rlike(f'(?iu)"({quoted})"'))
+        listed = "|".join(re.escape(k) for k in keys)
+        found = found | data.rlike(f'(?iu)"({listed})"')
     for pattern in patterns:
         # Anchors and look-around see the neighbours of a match, which differ in raw text.
         if re.search(r"[\^$]|\\[bBAZzG]|\(\?", pattern):
-            tests.append(data.isNotNull())
+            found = found | data.isNotNull()
         else:
-            tests.append(data.rlike(_java(pattern)))
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
+            found = found | data.rlike(_java(pattern))
     return found
 
 
@@ -140,45 +184,111 @@ class _Number(str):
     """A JSON number kept as it was written."""
 
 
-def _walker(policy: RedactionPolicy):
-    keys = frozenset(policy.key_set())
-    patterns = policy.usable_patterns()
-
-    def clean(text, compiled):
-        for pattern in compiled:
-            text = pattern.sub(REDACTED, text)
-        return text
-
-    def walk(value, compiled):
-        if isinstance(value, _Number):
-            return value
-        if isinstance(value, str):
-            return json.dumps(clean(value, compiled), ensure_ascii=False)
-        if isinstance(value, dict):
-            return "{" + ",".join(
-                json.dumps(k, ensure_ascii=False) + ":"
-                + (f'"{REDACTED}"' if k.lower() in keys else walk(v, compiled))
-                for k, v in value.items()
-            ) + "}"
-        if isinstance(value, list):
-            return "[" + ",".join(walk(v, compiled) for v in value) + "]"
-        return json.dumps(value)
-
-    def one(text, compiled):
+_JSON_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)'
+    r"|(true|false|null|NaN|-?Infinity)|([{}\[\],:]))",
+    re.ASCII,
+)
+_VALUE, _VALUE_OR_END, _KEY, _KEY_OR_END, _COLON, _NEXT = range(6)
+
+
+def _read(text: str):
+    """A JSON text as Python values, of equal keys the last; ValueError if it is none.
+
+    Nesting is kept on a list, so depth is bounded by memory only.
+    """
+    open_, keys, result, due, at = [], [], [], _VALUE, 0
+
+    def put(value):
+        nonlocal due
+        if not open_:
+            result.append(value)
+        elif isinstance(open_[-1], list):
+            open_[-1].append(value)
+        else:
+            open_[-1][keys.pop()] = value
+        due = _NEXT
+
+    while not result or open_:
+        m = _JSON_TOKEN.match(text, at)
+        if m is None:
+            raise ValueError("no JSON")
+        at = m.end()
+        string, number, word, mark = m.groups()
+        if string is not None and due in (_KEY, _KEY_OR_END):
+            keys.append(_text(string))
+            due = _COLON
+        elif mark == ":" and due == _COLON:
+            due = _VALUE
+        elif mark == "," and due == _NEXT:
+            due = _VALUE if isinstance(open_[-1], list) else _KEY
+        elif mark in ("}", "]") and due in (_NEXT, _VALUE_OR_END, _KEY_OR_END) and (
+            isinstance(open_[-1], list) == (mark == "]")
+        ):
+            put(open_.pop())
+        elif due in (_VALUE, _VALUE_OR_END) and mark in ("{", "["):
+            open_.append({} if mark == "{" else [])
+            due = _KEY_OR_END if mark == "{" else _VALUE_OR_END
+        elif due in (_VALUE, _VALUE_OR_END) and mark is None:
+            put(_text(string) if string is not None else _Number(number if number is not None else word))
+        else:
+            raise ValueError("no JSON")
+    if text[at:].strip(" \t\n\r"):
+        raise ValueError("no JSON")
+    return result[0]
+
+
+def _text(string: str) -> str:
+    """The value of a JSON string; half a surrogate pair, which no column holds, is replaced."""
+    value = json.loads(string)
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _apart(value, keys: frozenset[str]) -> list[list[str]]:
+    """[frame, strings]: the compact text of a value is frame[0] string[0] frame[1] ..."""
+    frame, strings, run = [], [], []
+    todo = [(False, value)]  # (is it text of the frame, item)
+    while todo:
+        fixed, item = todo.pop()
+        if fixed or isinstance(item, _Number):
+            run.append(item)
+        elif isinstance(item, str):
+            frame.append("".join(run))
+            strings.append(item)
+            run.clear()
+        else:
+            is_dict = isinstance(item, dict)
+            run.append("{" if is_dict else "[")
+            parts = []
+            for i, x in enumerate(item):
+                comma = "," if i else ""
+                if not is_dict:
+                    parts += [(True, comma), (False, x)]
+                    continue
+                parts.append((True, f"{comma}{json.dumps(x, ensure_ascii=False)}:"))
+                hide = x.lower() in keys
+                parts.append((True, f'"{REDACTED}"') if hide else (False, item[x]))
+            todo.append((True, "}" if is_dict else "]"))
+            todo += reversed(parts)
+    return [[*frame, "".join(run)], strings]
+
+
+def _splitter(keys: list[str]):
+    listed = frozenset(keys)
+
+    def one(text):
         if text is None:
             return None
         try:
-            tree = json.loads(text, parse_int=_Number, parse_float=_Number)
+            return _apart(_read(text), listed)
         except ValueError:
             # No JSON, so there are no keys to go by.
-            return clean(text, compiled)
-        return walk(tree, compiled)
+            return [[], [text]]
+        except (RecursionError, MemoryError):
+            return [[f'"{REDACTED}"'], []]
 
-    @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
-        compiled = [_python(p) for p in patterns]
-        # Spark reads JSON up to 1,000 levels deep, and a level takes two frames here.
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
-        return pd.Series([one(t, compiled) for t in texts], dtype=object)
+    @F.pandas_udf("array<array<string>>")
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
 
-    return redact
+    return split
