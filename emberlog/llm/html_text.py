@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import table
+from emberlog.llm.support import small_batches, table
 
 # Fixed values of HTML: elements without an end tag, elements that start a block, elements whose
 # text is no text of the page, and elements that are closed by others.
@@ -309,6 +309,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep`` and ``text`` of every page."""
+    small_batches(pages.sparkSession)
     rows = pages.select(*keep, html_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_extract, f"{schema}, text string")

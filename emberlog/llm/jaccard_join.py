@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
 from emberlog.llm.registry import query
-from emberlog.llm.support import bit_words, fresh, table, with_bit, written
+from emberlog.llm.support import bit_words, fresh, small_batches, table, with_bit, written
 from emberlog.llm.words import mix, shingles, word_hashes
 
 COUNTERS = 1 << 22  # counters of shingles; the table broadcast for the order has as many bytes
@@ -359,6 +359,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row, linking at a similarity of num / den."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranks = spark.sparkContext.broadcast(shingle_ranks(texts, size))
     digests = written(

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import fresh, table, written
+from emberlog.llm.support import fresh, small_batches, table, written
 from emberlog.llm.words import slices, utf8
 
 CELLS = 1 << 16
@@ -188,6 +188,7 @@ def address_language(address: Column) -> Column:
 def identify(docs: DataFrame, declared: str, host: str, text_col: str = "text",
              address: str | None = None) -> DataFrame:
     """``docs`` with ``language``, ``posterior`` and ``kept``, in place of columns so named."""
+    small_batches(docs.sparkSession)
     languages, model = fit(docs, declared, text_col)
     keep = [c for c in docs.columns if c.lower() not in ("language", "posterior", "kept")]
     if not languages:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import process_cache, table, written
+from emberlog.llm.support import process_cache, small_batches, table, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -283,6 +283,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if asked
     for, ``ids``. A sequence is named after the piece it begins with."""
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
     schema = _PIECES + (", ids array<int>" if with_ids else "")
     pieces = written(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts that go to Python at a time; Spark's own default of 10,000 is for short rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` unless it is lower already.
+
+    A batch is held several times over, by Spark and by its Python worker, and a row may be a
+    long text, so this bounds the memory of operators that read texts in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table below the shared checkpoint folder.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import bit_words, table, with_bit, written
+from emberlog.llm.support import bit_words, small_batches, table, with_bit, written
 from emberlog.llm.words import Words, mix, word_hashes
 
 FEATURES = 1 << 20
@@ -124,6 +124,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The weights learned from labelled documents outside of the held-out fold."""
+    small_batches(docs.sparkSession)
     known = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))
     sample = written(
         labels.filter(known)
@@ -152,6 +153,7 @@ def _collected(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """(id, score) of every row, from its text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
