@@ -66,7 +66,7 @@ def _count_cells(size: int):
                 cells = (shingles(words, size)[0] >> shift).astype(np.int64)
                 waiting.append(cells)
                 n += len(cells)
-                if n > COUNTERS:
+                if n > COUNTERS // 4:
                     add()
                     waiting, n = [], 0
         if waiting:

@@ -40,7 +40,7 @@ END_ID = 2
 BUCKET = 8192
 SLACK = 8
 ROUNDS = 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 # How a byte-level tokenizer splits text before merging, for the characters of _PLAIN only.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
