@@ -20,6 +20,8 @@ HEADLINE = (
     "search_topn", "search_multi_source", "search_e2e", "search_batch", "filter_combined",
     "query_group", "scan_events", "append_roundtrip", "norm_cloud", "norm_pods",
     "lines_from_chunks", "redact_message", "redact_data", "trim_around_match", "output_guard",
+    "sessions_topk", "stats_by_level", "stats_multi_source", "tail", "filter_contains",
+    "ingest_bodies", "project_json", "format_template",
 )
 
 

@@ -21,7 +21,7 @@ from emberlog.sources.browser import browser_errors_to_events, console_to_events
 from emberlog.sources.chunks import chunk_events
 from emberlog.sources.cloud import scan_cloud_logs, service_of_group
 from emberlog.sources.pods import scan_pod_logs, service_of_selector
-from emberlog.sources.store import append_events, read_store, scan_events
+from emberlog.sources.store import append_events, read_store, scan_events, write_lines
 from emberlog.streaming.ingest import IngestDefaults, stream_ingest
 
 SHOWN = "id, ts, ts_ms, level, type, service, run_id, session_id, message, data"
@@ -57,9 +57,10 @@ def _written_lines(spark: SparkSession, d: str, *, by_service: bool) -> str:
     root = shared_dir(spark, "lines")
     lines = _with(signals(spark, d), _STORE_LINE)
     if by_service:
-        lines.select("service", "value").write.partitionBy("service").text(root)
+        # Some of the lines lie in folders whose names are escaped or read like wildcards.
+        write_lines(lines, root, "service")
     else:
-        lines.select("value").write.text(root)
+        write_lines(lines, root)
     return root
 
 

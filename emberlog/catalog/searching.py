@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from emberlog.catalog.tables import (
 from emberlog.functions.msgquery import message_query
 from emberlog.functions.times import Window, bound_ms, resolve_since
 from emberlog.operators.aggregates import (
-    merge_sessions, merge_stats, message_stats, sessions, stats,
+    merge_stats, message_stats, sessions, stats,
 )
 from emberlog.operators.filters import event_filter, from_backends
 from emberlog.operators.topn import newest, top_buckets, top_sessions
@@ -213,16 +215,12 @@ def _(spark, d):
 )
 def _(spark, d):
     parts = [stats(frame, "level") for _, frame in open_sources(_three_sources(spark, d)).frames]
-    return merge_stats(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return merge_stats(reduce(DataFrame.unionByName, parts))
 
 
 @query("sessions_multi_source", f"with {_POOLED} " + _SESSIONS.format("pooled"))
 def _(spark, d):
-    parts = [
-        sessions(frame).drop("last_ms")
-        for _, frame in open_sources(_three_sources(spark, d)).frames
-    ]
-    return merge_sessions(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return sessions(_pooled(spark, d))
 
 
 @query(

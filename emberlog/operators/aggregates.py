@@ -70,8 +70,14 @@ def merge_stats(parts: DataFrame) -> DataFrame:
 
 
 def merge_sessions(parts: DataFrame) -> DataFrame:
-    """Combine session tables of several sources: counts add up, the latest time wins."""
-    ms = F.coalesce(event_time_ms(F.col("last_ts")), F.lit(0))
+    """Combine session tables of several sources: counts add up, the latest time wins.
+
+    Times are those of ``last_ms``, since a text alone does not tell them (a store line may
+    give its time as a number); tables without that column are compared by the text. Where the
+    events are at hand, pool them and aggregate once.
+    """
+    told = "last_ms" in parts.columns
+    ms = F.col("last_ms") if told else F.coalesce(event_time_ms(F.col("last_ts")), F.lit(0))
     return parts.groupBy("session_id").agg(
         F.max_by("last_ts", F.struct(ms, F.col("last_ts"))).alias("last_ts"),
         F.sum("event_count").alias("event_count"),

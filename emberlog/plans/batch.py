@@ -17,8 +17,6 @@ from emberlog.operators.topn import is_truncated, newest_order, source_key
 from emberlog.plans.request import SearchRequest, Settings
 from emberlog.plans.search import char_cap
 
-# Parts a search's hits are ranked in before its final ranking.
-_PARTS = 64
 
 
 def _trimmed(cap: int, match: str | None) -> Column:
@@ -190,7 +188,8 @@ def search_batch(
     if day:
         found = found.drop(day)
     # By input task: each task then passes on at most ``keep`` rows of a search.
-    part = F.pmod(F.spark_partition_id(), F.lit(_PARTS))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
     parted = Window.partitionBy("search_no", "_part").orderBy(*newest_order())
     final = Window.partitionBy("search_no").orderBy(*newest_order())
     first = (

@@ -30,11 +30,18 @@ class SearchResult:
     request: SearchRequest
     settings: Settings
     errors: tuple[SourceError, ...] = ()
+    # A tail asks for less than it searches: its answer is cut if there was more than it shows.
+    fills: int | None = None
 
     @property
     def limit(self) -> int:
         return self.request.rows(self.settings)
 
+    def _cut(self, n: Column, sources: Column) -> Column:
+        if self.fills is not None and self.limit < self.fills:
+            return n > self.limit
+        return F.coalesce(is_truncated(n, sources, self.limit), F.lit(False))
+
     def _redacted(self) -> DataFrame:
         # Only rows of the answer are redacted; filters have seen the stored text.
         rows = self.top.filter(F.col("rank") <= self.limit)
@@ -62,7 +69,7 @@ class SearchResult:
         n, sources = F.count(F.lit(1)), F.count_distinct(source_key())
         return self.top.agg(
             F.least(n, F.lit(self.limit)).cast("bigint").alias("returned"),
-            F.coalesce(is_truncated(n, sources, self.limit), F.lit(False)).alias("truncated"),
+            self._cut(n, sources).alias("truncated"),
         )
 
     def report(self) -> DataFrame:
@@ -79,7 +86,7 @@ class SearchResult:
             source_key().alias("source"),
         )
         n, sources = F.count(F.lit(1)), F.count_distinct("source")
-        cut = F.coalesce(is_truncated(n, sources, self.limit), F.lit(False))
+        cut = self._cut(n, sources)
         cap = self.request.max_output_chars
         report = guard_report(
             sized,
@@ -101,6 +108,7 @@ class SearchResult:
         kept = replace(self, top=self.top.persist())
         report = kept.report()
         if report.first()["blocked"]:
+            kept.top.unpersist()
             return report
         return kept.payload()
 
@@ -142,4 +150,6 @@ def tail(
     narrowed = replace(
         wanted, types=None, levels=None, contains=None, since=None, until=None, limit=rows
     )
-    return search(events, narrowed, window, settings, errors)
+    # The rule that a full answer of one source counts as cut holds for the search below the
+    # tail, which goes up to the deployment's maximum.
+    return replace(search(events, narrowed, window, settings, errors), fills=settings.max_results)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,11 +23,14 @@ SPEED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Batches with large limits, too, drop rows beyond the limit before they are shuffled.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # Batches drop rows beyond a limit before they are shuffled, however large the limit.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
 }
 
 
+_own: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a session the caller owns."""
     for key, value in {**RESULT_CONF, **SPEED_CONF}.items():
@@ -36,13 +41,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local master, where driver and executors are one process, may fall back to a
-    temporary folder; elsewhere the setting is required.
+    Only a local master, where driver and executors are one process, may do without the
+    setting; it gets a temporary folder that goes when Python ends. Elsewhere the setting is
+    required, and what it holds is the cluster's to keep or clear.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get("root")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own["root"] = tempfile.mkdtemp(prefix="emberlog-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -32,7 +32,7 @@ def _explode_events(df: DataFrame, keys: Sequence[str], items: Column) -> DataFr
     text = F.when(F.col("_item.kind") == "ARRAY", F.lit("{}")).otherwise(F.col("_item.text"))
     keep = (*keys, "item_no")
     parsed = bind(rows.select(*keep, text.alias("_text")), _event=read_event_object(F.col("_text")))
-    return event_columns(parsed, F.col("_event"), keep)
+    return event_columns(parsed, F.col("_event"), F.col("_text"), keep)
 
 
 def _is_record(item: Column) -> Column:

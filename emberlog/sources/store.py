@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.functions.jsontext import bind, compact, read_object, string_of
+from emberlog.functions.jsontext import bind, compact, quote, read_object, string_of
 from emberlog.functions.paths import event_json
 from emberlog.functions.times import event_time_ms, trimmed, utc_day
 from emberlog.model import EVENT_FIELDS, EVENT_SCHEMA, SOURCE_TYPE
@@ -15,6 +15,7 @@ from emberlog.operators.events import as_events
 
 # Every field is read as text first, so a value of an unexpected type does not reject a line.
 # The time may be a text or a number of milliseconds and therefore keeps its JSON type.
+# A ``data`` that is a JSON string is told from one that is an object by a second, rare reading.
 _LINE_FIELDS = ", ".join(f"`{f}` {'variant' if f == 'ts' else 'string'}" for f in EVENT_FIELDS)
 
 STORE_SCHEMA = T.StructType(
@@ -28,8 +29,9 @@ def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] =
 
     Works on static and streaming frames. ``keep`` names columns carried along.
     """
-    parsed = bind(lines.select(*keep, F.col(column).alias("_line")), _event=read_object(trimmed(F.col("_line")), _LINE_FIELDS))
-    return event_columns(parsed.filter(F.col("_event").isNotNull()), F.col("_event"), keep)
+    text = trimmed(F.col(column))
+    parsed = bind(lines.select(*keep, text.alias("_line")), _event=read_object(F.col("_line"), _LINE_FIELDS))
+    return event_columns(parsed.filter(F.col("_event").isNotNull()), F.col("_event"), F.col("_line"), keep)
 
 
 def read_event_object(text: Column) -> Column:
@@ -37,13 +39,14 @@ def read_event_object(text: Column) -> Column:
     return read_object(text, _LINE_FIELDS)
 
 
-def event_columns(df: DataFrame, event: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Event columns from a struct of raw JSON fields."""
+def event_columns(df: DataFrame, event: Column, text: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Event columns from a struct of raw JSON fields and the text they were read from."""
     ts = event["ts"]
     number = F.when(F.schema_of_variant(ts) != "STRING", F.try_variant_get(ts, "$", "double"))
     columns = {f: event[f] for f in EVENT_FIELDS}
     columns["ts"] = ts.cast("string")
-    columns["data"] = compact(event["data"])
+    is_text = text.rlike(r'"data"\s*:\s*"') & string_of(F.from_json(text, "data variant")["data"]).isNotNull()
+    columns["data"] = F.when(is_text, quote(event["data"])).otherwise(compact(event["data"]))
     columns["tags"] = F.from_json(event["tags"], "map<string,string>")
     columns["source"] = F.from_json(event["source"], SOURCE_TYPE)
     columns["ts_ms"] = F.coalesce(number.cast("bigint"), event_time_ms(string_of(ts)))
@@ -53,25 +56,45 @@ def event_columns(df: DataFrame, event: Column, keep: tuple[str, ...] = ()) -> D
 def scan_events(spark: SparkSession, root: str, service: str | None = None) -> DataFrame:
     """All events of a JSONL tree, ``<service>/<day>/<run>.jsonl`` at any depth.
 
-    With ``service`` only its folder is listed. A missing folder gives no events.
+    With ``service`` only its folders are listed: one of that name, and the one the writer
+    makes, which escapes some characters. Events there of another service are left out. A
+    missing folder gives no events.
     """
     paths = [root]
     if service:
-        paths = [f"{root.rstrip('/')}/{service}", f"{root.rstrip('/')}/service={service}"]
+        top = root.rstrip("/")
+        paths = [f"{top}/service={_literal(_folder_name(service))}"]
+        if not {".", ".."} & set(service.split("/")):
+            paths.append(f"{top}/{_literal(service)}")
     frames = [f for f in (_lines(spark, p) for p in paths) if f is not None]
     if not frames:
         return spark.createDataFrame([], EVENT_SCHEMA)
     lines = frames[0]
     for more in frames[1:]:
         lines = lines.unionAll(more)
-    return parse_lines(lines)
+    events = parse_lines(lines)
+    return events.filter(F.col("service") == service) if service else events
+
+
+# What Spark escapes in the names of partition folders, besides control characters.
+_ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f")
+
+
+def _folder_name(value: str) -> str:
+    """A value as Spark spells it in the name of a partition folder."""
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 else c for c in value)
+
+
+def _literal(name: str) -> str:
+    """A name in a path whose wildcards stand for themselves."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\," else c for c in name)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return (
             spark.read.option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.{jsonl,txt}")
+            .option("pathGlobFilter", "*.jsonl")
             .text(path)
         )
     except AnalysisException as error:
@@ -96,13 +119,24 @@ def append_events(df: DataFrame, root: str, fmt: str = "parquet") -> None:
     ordered = events.sortWithinPartitions("service", "date", "ts_ms")
     if fmt == "jsonl":
         lines = ordered.select("service", "date", event_json().alias("value"))
-        lines.write.mode("append").partitionBy("service", "date").text(root)
+        write_lines(lines, root, "service", "date")
     elif fmt == "parquet":
         ordered.write.mode("append").partitionBy("service", "date").parquet(root)
     else:
         raise ValueError(f"unknown store format {fmt!r}")
 
 
+def write_lines(lines: DataFrame, root: str, *by: str) -> None:
+    """Append the JSON objects in ``value`` as lines of ``.jsonl`` files, below folders ``by``.
+
+    The text writer names all files ``.txt``; that of delimited text takes a name. A JSON
+    object never begins with a comment sign or holds the separator, so nothing is quoted.
+    """
+    plain = {"extension": "jsonl", "quote": "", "sep": "\u0001", "ignoreLeadingWhiteSpace": False,
+             "ignoreTrailingWhiteSpace": False}
+    lines.select(*by, "value").write.mode("append").partitionBy(*by).options(**plain).csv(root)
+
+
 def read_store(spark: SparkSession, root: str, service: str | None = None) -> DataFrame:
     """Events of a Parquet store; ``service`` and ``date`` prune folders.
 

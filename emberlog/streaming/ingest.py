@@ -12,9 +12,6 @@ from emberlog.functions.redaction import RedactionPolicy
 from emberlog.operators.events import complete_events, redact_events
 from emberlog.sources.store import parse_lines, with_day
 
-# Tasks one service and day is spread over in a micro-batch; also its files per batch.
-SPREAD = 8
-
 
 @dataclass(frozen=True)
 class IngestDefaults:
@@ -31,7 +28,7 @@ def read_line_stream(spark: SparkSession, root: str, max_files: int = 1000) -> D
     return (
         spark.readStream.format("text")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{jsonl,txt}")
+        .option("pathGlobFilter", "*.jsonl")
         .option("maxFilesPerTrigger", max_files)
         .load(root)
     )
@@ -58,18 +55,21 @@ def stream_ingest(
     defaults: IngestDefaults,
     policy: RedactionPolicy | None = None,
     trigger: dict | None = None,
+    spread: int | None = None,
 ) -> StreamingQuery:
     """Start the ingest of a streaming frame of lines into the Parquet store at ``root``.
 
     The file sink's log and the checkpoint make each event appear once, also after a failure.
     Nothing is kept between batches. Adaptive splitting does not apply to streams, so rows of
-    one service and day are dealt out by input split, to a fixed number of tasks.
+    one service and day are dealt out by input split, to ``spread`` tasks, which is also the
+    most files it gets in a batch; by default as many as the session has shuffle partitions.
     """
+    width = spread or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = with_day(prepare(lines, defaults, policy))
-    deal = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
-    spread = events.withColumn("_deal", deal).repartition("service", "date", "_deal").drop("_deal")
+    deal = F.pmod(F.spark_partition_id(), F.lit(width))
+    dealt = events.withColumn("_deal", deal).repartition("service", "date", "_deal").drop("_deal")
     return (
-        spread.writeStream.format("parquet")
+        dealt.writeStream.format("parquet")
         .partitionBy("service", "date")
         .option("path", root)
         .option("checkpointLocation", checkpoint)

@@ -217,3 +217,23 @@ def test_redaction_comes_after_filtering(make_events):
     df = make_events({"id": "1", "ts": "2024-01-30T23:59:00Z", "type": "log", "message": "Bearer abcdef", "data": '{"token":"t"}'})
     row = search(df, SearchRequest(contains="abcdef"), WINDOW).events().first()
     assert (row.message, row.data) == ("[REDACTED]", '{"token":"[REDACTED]"}')
+
+
+def test_sessions_of_numeric_times_are_merged_by_time(spark):
+    import json
+
+    from emberlog.sources.store import parse_lines
+
+    lines = [json.dumps({"session_id": "s", "ts": t, "level": "info"}) for t in ("2023-01-01T00:00:00Z", 1_706_000_000_000)]
+    parts = [sessions(parse_lines(spark.createDataFrame([(x,)], "value string"))) for x in lines]
+    row = merge_sessions(parts[0].unionByName(parts[1])).first()
+    assert (row.last_ts, row.last_ms, row.event_count) == ("1706000000000", 1_706_000_000_000, 2)
+
+
+@pytest.mark.parametrize("found, cut", [(49, False), (50, False), (51, True)])
+def test_a_tail_is_cut_if_there_was_more(make_events, found, cut):
+    events = make_events(*({"id": f"{i:03}", "ts": f"2024-01-30T23:59:{i % 60:02}.000Z"} for i in range(found)))
+    answer = tail(events, SearchRequest(), WINDOW).truncated().first()
+    assert (answer["returned"], answer["truncated"]) == (min(found, 50), cut)
+    full = tail(events, SearchRequest(limit=found), WINDOW, Settings(max_results=found))
+    assert full.truncated().first()["truncated"] is True

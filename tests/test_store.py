@@ -13,10 +13,16 @@ from emberlog.session import shared_dir
 from emberlog.sources.store import append_events, read_store, scan_events
 from emberlog.streaming.ingest import IngestDefaults, read_line_stream, stream_ingest
 
+def row(n, **own):
+    base = {"id": str(n), "ts": f"2024-01-31T11:5{n}:00Z", "level": "warn", "type": "probe", "service": "svc",
+            "run_id": "r-9", "session_id": f"s-{n}"}
+    return {**base, **own}
+
+
 ROWS = [
-    {"id": "1", "ts": "2026-02-09T00:00:00.000Z", "level": "info", "type": "log", "service": "svc", "run_id": "run", "session_id": "s", "message": "foo bar", "data": {"note": "zzz"}},
-    {"id": "2", "ts": "2026-02-09T00:00:01.000Z", "level": "info", "type": "log", "service": "svc", "run_id": "run", "session_id": "s", "message": "foo", "data": {"note": "bar"}},
-    {"id": "3", "ts": "2026-02-09T00:00:02.000Z", "level": "info", "type": "log", "service": "svc", "run_id": "run", "session_id": "s", "message": "bar", "data": {"note": "foo"}},
+    row(1, message="Disk nearly full", data={"mount": "/var", "left": 3}),
+    row(2, message="disk check", data={"tags": ["nearly", "done"]}),
+    row(3, message="all quiet", data={"mount": "/nearly"}),
 ]
 
 
@@ -33,8 +39,9 @@ def ids(df):
 def test_query_reads_messages_and_contains_reads_all(spark, tmp_path):
     write(f"{tmp_path}/svc/2026-02-09/run.jsonl", *map(json.dumps, ROWS))
     events = scan_events(spark, str(tmp_path))
-    assert ids(events.filter(event_filter(query="bar"))) == ["1", "3"]
-    assert ids(events.filter(event_filter(query="foo", contains="bar"))) == ["1", "2"]
+    assert ids(events.filter(event_filter(query="nearly"))) == ["1"]
+    assert ids(events.filter(event_filter(contains="nearly"))) == ["1", "2", "3"]
+    assert ids(events.filter(event_filter(query="disk", contains="NEARLY"))) == ["1", "2"]
 
 
 def test_scan_drops_what_is_no_event(spark, tmp_path):
@@ -50,10 +57,41 @@ def test_scan_drops_what_is_no_event(spark, tmp_path):
     assert (rows["n"].ts_ms, rows["n"].level, rows["n"].tags) == (NOW_MS, "3", None)
     assert rows["new"].data == '{"b":1,"a":[1.5]}'
     assert scan_events(spark, f"{tmp_path}/missing").count() == 0
-    assert scan_events(spark, str(tmp_path), service="a").count() == 3
+    # The folder holds events of other services, too.
+    assert ids(scan_events(spark, str(tmp_path), service="a")) == []
     assert scan_events(spark, str(tmp_path), service="b").count() == 0
 
 
+def test_data_may_be_any_value(spark, tmp_path):
+    values = ["plain text", 'say "hi"', "{}", {"data": "x"}, [1, "a"], 5, True, ""]
+    write(f"{tmp_path}/svc/run.jsonl", *(json.dumps(row(i, data=v, tags={"data": "t"})) for i, v in enumerate(values)))
+    found = {int(r.id): json.loads(r.data) for r in scan_events(spark, str(tmp_path)).collect()}
+    assert found == dict(enumerate(values))
+
+
+def test_only_jsonl_is_read_and_written(spark, tmp_path, make_events):
+    write(f"{tmp_path}/svc/run.jsonl", json.dumps(ROWS[0]))
+    write(f"{tmp_path}/svc/notes.txt", json.dumps(ROWS[1]))
+    assert ids(scan_events(spark, str(tmp_path))) == ["1"]
+    root = f"{tmp_path}/out"
+    append_events(make_events({"id": "w", "message": 'a, "b" \\ # \x01 é\n'}, {"id": "v"}), root, fmt="jsonl")
+    assert {f for _, _, files in os.walk(root) for f in files if f.startswith("part")} == {
+        f for _, _, files in os.walk(root) for f in files if f.endswith(".jsonl")}
+    assert {r.id: r.message for r in scan_events(spark, root).collect()} == {"w": 'a, "b" \\ # \x01 é\n', "v": None}
+
+
+def test_names_of_services_are_taken_literally(spark, tmp_path, make_events):
+    names = ["a/b", "*", "?x", "x{1,2}", "[q]", "50%", "a=b:c", "plain", "it's", "..", "back\\slash"]
+    events = make_events(*({"id": str(i), "service": s} for i, s in enumerate(names)))
+    root = f"{tmp_path}/store"
+    append_events(events, root, fmt="jsonl")
+    for i, s in enumerate(names):
+        assert ids(scan_events(spark, root, service=s)) == [str(i)], s
+    write(f"{tmp_path}/tree/x{{1,2}}/d/run.jsonl", json.dumps(row(4, service="x{1,2}")))
+    write(f"{tmp_path}/tree/x1/d/run.jsonl", json.dumps(row(5, service="x1")))
+    assert ids(scan_events(spark, f"{tmp_path}/tree", service="x{1,2}")) == ["4"]
+
+
 def test_contains_needs_a_type(make_events):
     df = make_events({"id": "1", "session_id": "needle"}, {"id": "2", "session_id": "needle", "type": "t"}, {"id": "3", "message": "NEEDLE"})
     assert ids(df.filter(event_filter(contains="needle"))) == ["2", "3"]
@@ -99,7 +137,7 @@ def test_append_rebalances(spark, make_events):
 
 def test_lines_are_parsed_once(spark, tmp_path):
     write(f"{tmp_path}/run.jsonl", json.dumps(ROWS[0]))
-    df = scan_events(spark, str(tmp_path)).filter(event_filter(service="svc", levels=("info",), query="foo"))
+    df = scan_events(spark, str(tmp_path)).filter(event_filter(service="svc", levels=("warn",), query="disk"))
     assert optimized(df).count("emberlog-end-of-value: boolean") + optimized(df).count("StructField(emberlog-end-of-value") <= 1
     assert ids(df) == ["1"]
 
@@ -118,7 +156,7 @@ def test_stream(spark, tmp_path):
     ingest()
     rows = {r.id: r for r in read_store(spark, root).collect()}
     assert len(rows) == 3
-    assert (rows["1"].service, rows["1"].message, rows["1"].data) == ("svc", "foo bar", '{"note":"zzz"}')
+    assert (rows["1"].service, rows["1"].message, rows["1"].data) == ("svc", "Disk nearly full", '{"mount":"/var","left":3}')
     x = rows["x"]
     assert (x.level, x.service, x.run_id, x.ts, x.ts_ms, x.date) == ("info", "front", "run-1", "never", None, None)
     assert x.data == '{"token":"[REDACTED]"}' and x.source.kind == "sdk"
