@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
@@ -388,8 +388,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         ),
         "nodes",
     )
-    heads = digests.select("row", "prefix").join(in_groups.filter("leads").select("row", "group", "members"), "row")
-    lists = _lists(heads.select("group", "members", "prefix"), in_groups)
+    heads = digests.select("row", "prefix").join(in_groups.filter("leads").select("row", "n", "group", "members"), "row")
+    lists = _lists(heads.withColumn("band", _band(num, den)), in_groups)
     placed = written(
         lists.join(in_groups.select("group", "node", "n"), "group").select("token", "node", "n", "length"),
         "lists",
@@ -401,9 +401,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     def in_chunks(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.repartition(*keys).sortWithinPartitions(*keys)
 
-    step = float(np.log(den / num)) if num < den else 1.0
     salted = sketches.select(
-        "token", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("band"),
+        "token", _band(num, den).alias("band"),
         F.pmod(F.xxhash64("token", "node"), F.ceil(F.col("length") / CHUNK)).alias("salt"),
         "node", "n", "sketch",
     )
@@ -443,26 +442,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     )
 
 
+def _band(num: int, den: int) -> Column:
+    """Bands of sizes: those that can link are in the same or in neighbouring bands."""
+    step = float(np.log(den / num)) if num < den else 1.0
+    # A little wider than the reach, so that rounding cannot put two of them further apart.
+    return F.floor(F.log(F.col("n").cast("double")) / (step * 1.001)).cast("int")
+
+
 def _lists(heads: DataFrame, in_groups: DataFrame) -> DataFrame:
     """(token, group, length): groups that share a prefix member, lists with the same groups once,
     and groups of several nodes; ``length`` counts nodes.
 
     Most members are in the prefix of one group only. Their counts alone are shuffled; a bit filter
-    of the others picks the rows that go on.
+    of the others picks the rows that go on. Of these, groups go whose size is in no reach of
+    another's in the list: sizes that can link lie in the same band or in neighbouring ones.
     """
-    postings = heads.select("group", "members", F.explode("prefix").alias("token"))
+    postings = heads.select("group", "members", "band", F.explode("prefix").alias("token"))
     common = written(
         postings.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token"), "tokens"
     )
     cell = F.pmod(F.xxhash64("token"), F.lit(FILTER_BITS))
     near = with_bit(postings, cell, bit_words(common.select(cell.alias("cell"))), "near").filter("near")
-    shared = written(near.drop("near").join(common, "token", "left_semi"), "postings")
+    near = written(near.drop("near"), "postings")
+    lower, upper = near.select("token", "band"), near.select("token", (F.col("band") + 1).alias("band"))
+    met = written(
+        lower.union(upper).groupBy("token", "band").agg(F.count("*").alias("rows")).filter("rows > 1").select("token", "band"),
+        "bands",
+    )
+    # A group is in two bands of a list: its own, and the next one for larger partners.
+    partners = met.union(met.select("token", F.col("band") - 1)).distinct()
+    shared = written(near.join(partners, ["token", "band"], "left_semi"), "postings")
     tokens = (
         shared.groupBy("token").agg(
             F.count("*").alias("groups"), F.sum("members").alias("length"),
             F.bit_xor(F.xxhash64("group")).alias("x1"), F.bit_xor(F.xxhash64("group", F.lit(1))).alias("x2"),
         )
-        .groupBy("groups", "length", "x1", "x2").agg(F.min("token").alias("token"))
+        .filter("groups > 1").groupBy("groups", "length", "x1", "x2").agg(F.min("token").alias("token"))
     )
     alike = in_groups.filter("leads and members > 1").select(
         F.col("p1").alias("token"), "group", F.col("members").alias("length")
