@@ -59,14 +59,15 @@ def _count_cells(size: int):
         waiting, n = [], 0
 
         def add():
-            total[:] += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+            cells, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            total[cells] += counts.astype(np.uint32)
 
         for batch in batches:
             for words in word_hashes(batch.column(0)):
                 cells = (shingles(words, size)[0] >> shift).astype(np.int64)
                 waiting.append(cells)
                 n += len(cells)
-                if n > COUNTERS // 4:
+                if n > _PART * 4:
                     add()
                     waiting, n = [], 0
         if waiting:

@@ -20,20 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of whole texts that go to Python at a time; Spark's own default of 10,000 is for short rows.
+#: Rows of whole texts, and their bytes, that go to Python at a time; Spark's own bounds, of 10,000
+#: rows, are for short rows.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` unless it is lower already.
+    """Lower the session's Arrow batch sizes to ``BATCH_ROWS`` and ``BATCH_BYTES`` unless they are
+    lower already, written as plain numbers.
 
     A batch is held several times over, by Spark and by its Python worker, and a row may be a
     long text, so this bounds the memory of operators that read texts in Python.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(key, "10000"))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

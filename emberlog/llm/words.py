@@ -2,8 +2,8 @@
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
 return; A-Z count as a-z. All of these are single bytes in UTF-8, so words of bytes are words of
-characters. Work goes through slices of about a megabyte of text, so that memory does not depend
-on the size of a batch; one long text is a slice of its own.
+characters. Work goes through slices of about a quarter of a megabyte of text, so that memory does
+not depend on the size of a batch; one long text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from emberlog.llm.support import process_cache
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -40,16 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
+    """Powers of an odd number and of its inverse, modulo 2**64. Those for a usual slice are kept,
+    those for a long text are not."""
     cache = process_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        size = max(n, 2 * SLICE)
-        base, inverse = _ODD, pow(_ODD, -1, 1 << 64)
-        up = np.full(size, base, np.uint64)
-        down = np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        cache["powers"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return cache["powers"]
+    usual = SLICE + 1
+    if n <= usual and "powers" in cache:
+        return cache["powers"]
+    up = np.full(max(n, usual), _ODD, np.uint64)
+    down = np.full(max(n, usual), pow(_ODD, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    found = np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+    if n <= usual:
+        cache["powers"] = found
+    return found
 
 
 def _tables(letters_only: bool) -> tuple[np.ndarray, np.ndarray]:
