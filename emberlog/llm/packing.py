@@ -40,7 +40,7 @@ END_ID = 2
 BUCKET = 8192
 SLACK = 8
 ROUNDS = 2
-CACHED_WORDS = 250_000
+CACHED_WORDS = 60_000
 
 # How a byte-level tokenizer splits text before merging, for the characters of _PLAIN only.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -151,7 +151,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def _portions(batch: pa.RecordBatch, rows: int = 200) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _portions(batch: pa.RecordBatch, rows: int = 50) -> Iterator[tuple[int, pa.RecordBatch]]:
     for at in range(0, batch.num_rows, rows):
         yield at, batch.slice(at, rows)
 
