@@ -1,8 +1,8 @@
 """Imports the modules that register queries."""
 
 from emberlog.llm import (  # noqa: F401
-    exact_dedup, html_text, jaccard_join, language_id, mixing, packing, quality_rules, sharding,
-    toxicity, url_filter,
+    clustering, decontamination, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, mixing,
+    packing, quality_rules, sharding, toxicity, url_filter,
 )
 from emberlog.llm.registry import ORACLES, QUERIES
 

@@ -1,7 +1,7 @@
 import collections
 
 from emberlog.llm.exact_dedup import exact_dedup, exact_groups
-from plain import sha
+from plain_text import sha
 
 
 def expected(rows):

@@ -4,7 +4,7 @@ import pytest
 
 from emberlog.llm.components import components
 from emberlog.llm.jaccard_join import jaccard_components, one_of_each, prefix_length
-from plain import linked_components
+from plain_text import linked_components
 
 
 def near_copies(seed, families=8, words=60):

@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from emberlog.llm.mixing import SEED, Plan, budgets, mix
-from plain import WORD
+from plain_text import WORD
 
 EVEN = Plan("'d'", "1", "1", "1", 500, 2)
 

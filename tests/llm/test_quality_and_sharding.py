@@ -7,7 +7,7 @@ import pytest
 from emberlog.llm.catalog import QUERIES
 from emberlog.llm.quality_rules import SYMBOLS, quality
 from emberlog.llm.sharding import LAYOUT_SQL, interleave
-from plain import WORD, repeat_words
+from plain_text import WORD, repeat_words
 
 SF = "/root/testdata/sf0.001"
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from emberlog.llm.catalog import ORACLES, QUERIES
-from plain import linked_components, sha
+from plain_text import linked_components, sha
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -32,9 +32,9 @@ def test_oracle(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = entry_points.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "jaccard_join", "source_mixing", "best_fit_packing"]
