@@ -9,8 +9,6 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from emberlog.session import configure  # noqa: E402
 
-NOW_MS = 1_706_659_200_000
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -42,11 +40,3 @@ def make_events(spark):
         return df.withColumn("ts_ms", event_time_ms(F.col("ts")))
 
     return make
-
-
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def optimized(df) -> str:
-    return df._jdf.queryExecution().optimizedPlan().toString()

@@ -3,7 +3,7 @@
 import random
 import re
 
-from conftest import plan
+from helpers import plan
 
 from emberlog.sources.chunks import chunk_events, lines_from_chunks
 

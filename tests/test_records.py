@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import NOW_MS
+from helpers import NOW_MS
 from emberlog.functions.times import bound_ms, event_time_ms, resolve_since, Window
 from emberlog.sources.bodies import ingest_bodies, ingest_documents, ingest_outcomes
 from emberlog.sources.browser import browser_errors_to_events, console_to_events

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import NOW_MS, plan
+from helpers import NOW_MS, plan
 from pyspark.sql import functions as F
 
 from emberlog.functions.redaction import RedactionPolicy

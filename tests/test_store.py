@@ -3,7 +3,7 @@
 import json
 import os
 
-from conftest import NOW_MS, optimized, plan
+from helpers import NOW_MS, optimized, plan
 from pyspark.sql import functions as F
 
 from emberlog.functions.times import bound_ms
