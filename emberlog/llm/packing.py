@@ -12,7 +12,8 @@ ends when that bin is empty or nothing fits. Bins left with more than ``SLACK``
 opened again and their pieces dealt into new buckets, ``ROUNDS`` times in all, so the last bins of
 many buckets share sequences.
 
-Tokenizing goes piece of text by piece of text with a cache of bounded size, which gives the ids
+Tokenizing goes piece of text by piece of text with a cache of bounded size, which forgets the
+pieces that were not used for longest; it gives the ids
 that the tokenizer gives for the whole text; texts with characters outside of Latin letters and
 ASCII go through the tokenizer whole.
 
@@ -40,7 +41,7 @@ END_ID = 2
 BUCKET = 8192
 SLACK = 8
 ROUNDS = 2
-CACHED_WORDS = 60_000
+CACHED_WORDS = 400_000
 
 # How a byte-level tokenizer splits text before merging, for the characters of _PLAIN only.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -64,10 +65,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words used lately, and those used before them, which go when there are too many.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.plain = re.compile(f"[{_PLAIN}]*")
         self.split = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+"
+            # Words come first, as most pieces are; nothing else begins like them.
+            f" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_DIGIT}]+"
             f"| ?[^\\s{_LETTER}{_DIGIT}]+|\\s+(?!\\S)|\\s+"
         ).findall
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -79,15 +83,20 @@ class Encoder:
 
     def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of single pieces. Those of a space and letters are encoded as one text, which the
-        tokenizer splits at each of them again."""
-        spaced = [w for w in words if w[0] == " " and w[1:2].isalpha()]
-        if spaced:
-            found = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            starts = np.searchsorted(np.array(found.word_ids), np.arange(len(spaced) + 1)) * 4
-            ids = np.array(found.ids, "<u4").tobytes()
-            yield from zip(spaced, (ids[a:b] for a, b in zip(starts, starts[1:])))
-        others = [w for w in words if not (w[0] == " " and w[1:2].isalpha())]
-        yield from zip(others, self.whole(others))
+        tokenizer splits at each of them again; others as one text with line ends between them,
+        which are pieces of their own wherever something else than white space follows."""
+        spaced, others, blank = [], [], []
+        for w in words:
+            (spaced if w[0] == " " and w[1:2].isalpha() else blank if w.isspace() else others).append(w)
+        for pieces, text, step in ((spaced, "".join(spaced), 1), (others, "\n" + "\n".join(others), 2)):
+            if pieces:
+                found = self.tokenizer.encode(text, add_special_tokens=False)
+                places = np.array(found.word_ids)
+                at = np.arange(len(pieces)) * step + (step - 1)
+                starts, ends = np.searchsorted(places, at) * 4, np.searchsorted(places, at, "right") * 4
+                ids = np.array(found.ids, "<u4").tobytes()
+                yield from zip(pieces, (ids[a:b] for a, b in zip(starts.tolist(), ends.tolist())))
+        yield from zip(blank, self.whole(blank))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [
@@ -95,15 +104,15 @@ class Encoder:
         ]
         split = [self.split(t) if p else () for t, p in zip(texts, plain)]
         new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = set().union(*split)
-        self.words.update(self.learn(list(new)))
+        self.words.update((w, self.older[w]) for w in new.intersection(self.older))
+        self.words.update(self.learn(list(new.difference(self.older))))
         known = self.words
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         odd = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
+        if len(known) > CACHED_WORDS // 2:
+            self.words, self.older = {}, known
         return out
 
 
@@ -151,7 +160,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def _portions(batch: pa.RecordBatch, rows: int = 50) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _portions(batch: pa.RecordBatch, rows: int = 400) -> Iterator[tuple[int, pa.RecordBatch]]:
     for at in range(0, batch.num_rows, rows):
         yield at, batch.slice(at, rows)
 
@@ -229,8 +238,11 @@ def _step(b, size, place, members, fill, pool, capacity):
             return (i,), None, fits[room[fits].argmin()]
     at = pool[(place[pool] != b) & (fill[place[pool]] >= fill[b]) & (room[place[pool]] > 0)]
     free, have = room[place[at]], size[at]
-    sets = [(i,) for i in own] + [(i, j) for k, i in enumerate(own[:12]) for j in own[k + 1 : 12]]
-    for out in sets:  # an exchange that leaves the other bin as full as it can be
+    # Of pieces of one length two stand for all, and of sets of one total the first for all.
+    some, sets = [i for k, i in enumerate(own) if k < 2 or size[i] != size[own[k - 2]]], {}
+    for out in [(i,) for i in some] + [(i, j) for k, i in enumerate(some) for j in some[k + 1 :]]:
+        sets.setdefault((len(out), int(size[list(out)].sum())), out)
+    for out in sets.values():  # an exchange that leaves the other bin as full as it can be
         gain = size[list(out)].sum() - have
         good = (gain > 0) & (gain <= free)
         if good.any():
