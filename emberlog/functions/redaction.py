@@ -30,8 +30,9 @@ REDACTED = "[REDACTED]"
 DEFAULT_KEYS = ("authorization", "api_key", "token", "secret", "password")
 DEFAULT_PATTERNS = (r"sk-[A-Za-z0-9]{20,}", r"Bearer\s+[A-Za-z0-9._-]+")
 
-# How far an open repetition inside a look-behind may reach; Java wants a bound.
-LOOK_BEHIND = 1000
+# Java wants a bound for a repetition inside a look-behind. This one is beyond any text that is
+# matched: a longer text is replaced as a whole where a pattern has such a repetition.
+_FAR = 100_000_000
 
 
 @dataclass(frozen=True)
@@ -57,42 +58,108 @@ class RedactionPolicy:
         return [p for p in self.patterns if not _compiles(p)]
 
 
-_TOKEN = re.compile(r"\\[pP]\{[^}]*\}|\\.|\(\?<[=!]|\{\d+(?:,\d*)?\}|.", re.DOTALL)
+_TOKEN = re.compile(r"\\[pP]\{[^}]*\}|\\k<[^>]*>|\\.|\(\?<[=!]|\{\d+(?:,\d*)?\}|.", re.DOTALL)
+_OPEN = re.compile(r"[*+]|\{\d+,\}")
+_REPEAT = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
 
 
-def _java(pattern: str) -> str:
-    """A pattern of ECMAScript as Java spells it.
+def _tokens(pattern: str) -> list[tuple[str, int]]:
+    """Tokens of a pattern of ECMAScript as Java spells them, with their depth in groups; a class of
+    characters is one token.
 
     White space is the full set, ``$`` is the very end, ``[`` inside a class and braces that
-    repeat nothing are literal, and repetitions inside a look-behind get a bound.
+    repeat nothing are literal.
     """
-    out, in_class, depth, behind = [], False, 0, []
+    out, depth, class_ = [], 0, None
     for token in _TOKEN.findall(pattern):
-        if token == r"\s":
-            token = WHITESPACE if in_class else f"[{WHITESPACE}]"
-        elif in_class:
-            in_class = token != "]"
-            token = r"\[" if token == "[" else token
+        if class_ is not None:
+            class_ += {r"\s": WHITESPACE, "[": r"\["}.get(token, token)
+            if token == "]":
+                out.append((class_, depth))
+                class_ = None
         elif token == "[":
-            in_class = True
-        elif token == "$":
-            token = r"\z"
-        elif token == "{":
-            token = r"\{"
-        elif token.startswith("("):
-            depth += 1
-            if token != "(":
-                behind.append(depth)
-        elif token == ")":
-            if behind and behind[-1] == depth:
-                behind.pop()
-            depth -= 1
-        elif behind and token in ("*", "+"):
-            token = f"{{{int(token == '+')},{LOOK_BEHIND}}}"
-        elif behind and token.endswith(",}"):
-            token = f"{token[:-1]}{LOOK_BEHIND}}}"
-        out.append(token)
-    return "(?i)" + "".join(out)
+            class_ = token
+        else:
+            depth -= token == ")"
+            out.append(({r"\s": f"[{WHITESPACE}]", "$": r"\z", "{": r"\{"}.get(token, token), depth))
+            depth += token.startswith("(")
+    return out if class_ is None else [*out, (class_, depth)]
+
+
+def _parts(tokens: list[tuple[str, int]]) -> list[list[tuple[str, int]]]:
+    """The alternatives of a run of tokens."""
+    top = min((d for _, d in tokens), default=0)
+    parts: list[list[tuple[str, int]]] = [[]]
+    for token in tokens:
+        if token == ("|", top):
+            parts.append([])
+        else:
+            parts[-1].append(token)
+    return parts
+
+
+def _behind(tokens: list[tuple[str, int]]) -> tuple[list, list]:
+    """A look-behind at the start of an alternative, and what follows it."""
+    if not tokens or not tokens[0][0].startswith("(?<"):
+        return [], tokens
+    end = next((i for i, t in enumerate(tokens) if i and t == (")", tokens[0][1])), len(tokens) - 1)
+    return tokens[: end + 1], tokens[end + 1 :]
+
+
+def _java(pattern: str) -> str:
+    """A pattern of ECMAScript for Java.
+
+    Open repetitions inside a look-behind get a bound. Java tries such a look-behind from every
+    place back to the start of the text, so one that begins an alternative waits until what
+    follows it has matched: that is asked first, ahead.
+    """
+    tokens = _tokens(pattern)
+    out, inside = [], []
+    for token, depth in tokens:
+        inside = [d for d in inside if depth > d]
+        if inside and _OPEN.fullmatch(token):
+            least = {"*": "0", "+": "1"}.get(token) or token[1:-2]
+            token = f"{{{least},{_FAR}}}"
+        if token.startswith("(?<"):
+            inside.append(depth)
+        out.append((token, depth))
+
+    def text(part) -> str:
+        return "".join(t for t, _ in part)
+
+    # Asked twice, groups would have other numbers, or the same names.
+    if re.search(r"\\[1-9k]|\(\?<[A-Za-z]", pattern):
+        return f"(?i){text(out)}"
+
+    def reordered(part) -> str:
+        behind, rest = _behind(part)
+        if not rest or str(_FAR) not in text(behind) or _REPEAT.fullmatch(rest[0][0]):
+            return text(part)
+        return f"(?={text(rest)}){text(part)}"
+
+    return "(?i)" + "|".join(map(reordered, _parts(out)))
+
+
+def _literal(pattern: str) -> str:
+    """The longest text, in lower case, that stands in or before all matches of a pattern; may be
+    empty."""
+    tokens = _tokens(pattern)
+    if len(_parts(tokens)) > 1:
+        return ""
+    behind, rest = _behind(tokens)
+    inner = behind[1:-1] if behind and behind[0][0] == "(?<=" and not (rest and _REPEAT.fullmatch(rest[0][0])) else []
+    best = ""
+    for run in ([] if len(_parts(inner)) > 1 else inner), rest:
+        top, now = min((d for _, d in run), default=0), ""
+        for (token, depth), (after, _) in zip(run, [*run[1:], ("", 0)]):
+            char = token[1:] if len(token) == 2 and token[0] == "\\" and not token[1].isalnum() else token
+            plain = len(char) == 1 and char.isascii() and depth == top and (token != char or char not in "\\.^$|()[]*+?")
+            may_miss = after in ("*", "?") or after.startswith("{0")
+            now = now + char if plain and not may_miss else ""
+            best = max(best, now, key=len)
+            if _REPEAT.fullmatch(after):
+                now = ""
+    return best.lower()
 
 
 def _compiles(pattern: str) -> bool:
@@ -115,8 +182,23 @@ def redact_text(text: Column, policy: RedactionPolicy) -> Column:
 
 
 def _clean(text: Column, patterns: list[str]) -> Column:
+    """The text with all matches replaced, pattern after pattern. A search for a text that every
+    match needs is far cheaper than a pattern, and goes first."""
+
+    def one(pattern: str):
+        spelled, needed = _java(pattern), _literal(pattern)
+
+        def clean(t: Column) -> Column:
+            out = F.regexp_replace(t, F.lit(spelled), F.lit(REDACTED))
+            if str(_FAR) in spelled:
+                out = F.when(F.length(t) > _FAR, F.lit(REDACTED)).otherwise(out)
+            return F.when(F.contains(F.lower(t), F.lit(needed)), out).otherwise(t) if needed else out
+
+        return clean
+
     for pattern in patterns:
-        text = F.regexp_replace(text, F.lit(_java(pattern)), F.lit(REDACTED))
+        # Bound to a name, so that what comes before stands in the plan once.
+        text = F.transform(F.array(text), one(pattern))[0]
     return text
 
 
@@ -172,9 +254,11 @@ def _suspicious(data: Column, keys: list[str], patterns: list[str]) -> Column:
         listed = "|".join(re.escape(k) for k in keys)
         found = found | data.rlike(f'(?iu)"({listed})"')
     for pattern in patterns:
-        # Anchors and look-around see the neighbours of a match, which differ in raw text.
+        # Anchors and look-around see the neighbours of a match, which differ in raw text; a text
+        # that stands in or before every match does not.
         if re.search(r"[\^$]|\\[bBAZzG]|\(\?", pattern):
-            found = found | data.isNotNull()
+            needed = _literal(pattern)
+            found = found | (F.contains(F.lower(data), F.lit(needed)) if needed else data.isNotNull())
         else:
             found = found | data.rlike(_java(pattern))
     return found

@@ -4,11 +4,12 @@ import json
 import re
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from emberlog.functions.redaction import REDACTED, RedactionPolicy, redact_data, redact_text
+from emberlog.functions.redaction import REDACTED, RedactionPolicy, _literal, redact_data, redact_text
 from emberlog.operators.events import redact_events
 
 
@@ -58,6 +59,43 @@ def test_patterns_of_another_dialect(spark):
     assert redacted(spark, texts, policy) == ['{"a":"password=[REDACTED] [REDACTED]","b":["[REDACTED]"]}']
 
 
+@pytest.mark.parametrize("blanks", [0, 5, 1000, 1001, 5000, 60_000])
+def test_look_behind_has_no_bound(spark, blanks):
+    policy = RedactionPolicy(keys=(), patterns=(r"(?<=user\s*)\d+",))
+    text = "id 7, USER" + " " * blanks + "12345, user"
+    clean = text.replace("12345", REDACTED)
+    assert spark.createDataFrame([(text,)], "m string").select(redact_text(F.col("m"), policy).alias("m")).first().m == clean
+    assert redacted(spark, [json.dumps({"a": text}, separators=(",", ":"))], policy) == [
+        json.dumps({"a": clean}, separators=(",", ":"))]
+
+
+LOOKING = (
+    r"(?<=user\s*)\d+", r"(?<=a+b*)[1-3]", r"(?<![a-z]+)\d{2,}", r"(?<=x*a|=\s*)u\w*|(?<=b+)\s", r"(?<=u.*)2",
+    r"(?<=(a|s)+)=", r"(?:(?<=r+))1+", r"(?<=a\s+)(?<=\s*)b?", r"(?<=(u)s*)e\1?", r"1(?<=a[ =]{1,}1)",
+)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("users=ab12 \t", max_size=24), min_size=30, max_size=60))
+def test_look_behind_like_an_engine_without_bounds(spark, texts):
+    """``regex`` looks behind over any length, as ECMAScript does."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string")
+    usable = RedactionPolicy(patterns=LOOKING).usable_patterns()
+    assert len(usable) >= len(LOOKING) - 1
+    columns = [redact_text(F.col("m"), RedactionPolicy(keys=(), patterns=(p,))).alias(f"p{i}") for i, p in enumerate(usable)]
+    for row in df.select("i", *columns).collect():
+        want = [regex.sub(p, REDACTED, texts[row.i], flags=regex.I | regex.V0) for p in usable]
+        assert list(row)[1:] == want
+
+
+@pytest.mark.parametrize("pattern, needed", [
+    (r"(?<=user\s*)\d+", "user"), (r"Bearer\s+x", "bearer"), ("ab?cd", "cd"), ("a|b", ""), ("(ab)*c", "c"), ("xy{0,2}z", "x"),
+    (r"(?<=a|b)cd", "cd"), (r"(?<!secret)x", "x"), (r"a\.b+c", "a.b"), ("[abc]d", "d"), ("é1", "1"), ("ab(?=cde)", "ab"),
+])
+def test_text_that_every_match_needs(pattern, needed):
+    assert _literal(pattern) == needed
+
+
 def test_data_details(spark):
     policy = RedactionPolicy(keys=(" Token ", ""), patterns=("(bad", r"Bearer\s+\w+", "^secret$"))
     texts = [
