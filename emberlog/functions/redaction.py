@@ -12,7 +12,7 @@ import sys
 import warnings
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext, cloudpickle
 from pyspark.errors import PySparkException
@@ -357,6 +357,105 @@ def _apart(value, keys: frozenset[str]) -> list[list[str]]:
     return [[*frame, "".join(run)], strings]
 
 
+class _Repeated(Exception):
+    """An object has a key twice."""
+
+
+# Openings of nested objects by keys without an escape, and closings of objects, as runs.
+_OPENINGS = re.compile(r'(?:\{"[^"\\\x00-\x1f]*+":)++')
+_CLOSINGS = re.compile(r"\}++")
+_LIST = object()
+
+
+def _streamed(text: str, keys: frozenset[str]) -> list[list[str]]:
+    """What :func:`_apart` gives for a JSON text, read once from left to right. Of each open object
+    only the keys are held; nesting that goes straight down or up is taken as one run."""
+    frame, strings, run = [], [], []
+    open_: list = []  # _LIST, or of an object its keys: None, one, or a set of several
+    due, at, hidden = _VALUE, 0, 0  # hidden: number of open values around one that is replaced
+
+    def new_key(key: str) -> None:
+        seen = open_[-1]
+        if seen is None:
+            open_[-1] = key
+        elif isinstance(seen, str) and seen != key:
+            open_[-1] = {seen, key}
+        elif isinstance(seen, set) and key not in seen:
+            seen.add(key)
+        else:
+            raise _Repeated
+
+    while due != _NEXT or open_:
+        if due in (_VALUE, _VALUE_OR_END) and (m := _OPENINGS.match(text, at)):
+            names = m[0][2:-2].split('":{"')
+            if not hidden:
+                names = names[: next((i for i, x in enumerate(names) if x.lower() in keys), len(names))]
+            if names:
+                piece = '{"' + '":{"'.join(names) + '":'
+                open_ += names
+                at += len(piece)
+                due = _VALUE
+                if not hidden:
+                    run.append(piece)
+                continue
+        if due == _NEXT and (m := _CLOSINGS.match(text, at)):
+            n = len(m[0])
+            if n > len(open_) or _LIST in open_[-n:]:
+                n = next((i for i, x in enumerate(reversed(open_)) if x is _LIST), len(open_))
+            if not n:
+                raise ValueError("no JSON")
+            inside = max(0, min(n, len(open_) - hidden)) if hidden else 0
+            del open_[-n:]
+            at += n
+            hidden = 0 if len(open_) <= hidden else hidden
+            run.append("}" * (n - inside))
+            continue
+        m = _JSON_TOKEN.match(text, at)
+        if m is None:
+            raise ValueError("no JSON")
+        at = m.end()
+        string, number, word, mark = m.groups()
+        out = ""
+        if string is not None and due in (_KEY, _KEY_OR_END):
+            key = _text(string)
+            new_key(key)
+            out, due = json.dumps(key, ensure_ascii=False), _COLON
+            hide = not hidden and key.lower() in keys
+        elif mark == ":" and due == _COLON:
+            out, due = ":", _VALUE
+            if hide:
+                run.append(f':"{REDACTED}"')
+                hidden = len(open_)
+        elif mark == "," and due == _NEXT:
+            hidden = 0 if len(open_) <= hidden else hidden
+            out, due = ",", _VALUE if open_[-1] is _LIST else _KEY
+        elif mark in ("}", "]") and due in (_NEXT, _VALUE_OR_END, _KEY_OR_END) and (open_[-1] is _LIST) == (mark == "]"):
+            # The closing of what holds the replaced value ends the hiding.
+            hidden = 0 if due == _NEXT and len(open_) <= hidden else hidden
+            open_.pop()
+            out, due = mark, _NEXT
+        elif due in (_VALUE, _VALUE_OR_END) and mark in ("{", "["):
+            open_.append(None if mark == "{" else _LIST)
+            out, due = mark, _KEY_OR_END if mark == "{" else _VALUE_OR_END
+        elif due in (_VALUE, _VALUE_OR_END) and mark is None:
+            due = _NEXT
+            if string is not None:
+                value = _text(string)
+                if not hidden:
+                    frame.append("".join(run))
+                    strings.append(value)
+                    run.clear()
+            else:
+                out = number if number is not None else word
+        else:
+            raise ValueError("no JSON")
+        if out and not hidden:
+            run.append(out)
+    if text[at:].strip(" \t\n\r"):
+        raise ValueError("no JSON")
+    return [[*frame, "".join(run)], strings]
+
+
 def _splitter(keys: list[str]):
     listed = frozenset(keys)
 
@@ -364,15 +463,23 @@ def _splitter(keys: list[str]):
         if text is None:
             return None
         try:
-            return _apart(_read(text), listed)
+            return _streamed(text, listed)
+        except _Repeated:
+            pass
         except ValueError:
             # No JSON, so there are no keys to go by.
             return [[], [text]]
         except (RecursionError, MemoryError):
             return [[f'"{REDACTED}"'], []]
+        try:
+            return _apart(_read(text), listed)
+        except ValueError:
+            return [[], [text]]
+        except (RecursionError, MemoryError):
+            return [[f'"{REDACTED}"'], []]
 
-    @F.pandas_udf("array<array<string>>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([one(t) for t in texts], dtype=object)
+    @F.arrow_udf("array<array<string>>")
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.list_(pa.list_(pa.string())))
 
     return split

@@ -165,3 +165,27 @@ def test_against_plain_walk(spark, objects):
     texts = [json.dumps(o, separators=(",", ":"), ensure_ascii=False) for o in objects]
     found = [json.loads(t) for t in redacted(spark, texts, policy)]
     assert found == [walk(o, set(policy.keys), policy.patterns) for o in objects]
+
+
+TOKENS = st.sampled_from(["{", "}", "[", "]", ":", ",", '"a"', '"token"', "1", "null", " ", '"s\\u0041"', '{"a":', '{"token":', '{"b":', "}}", "{}"])
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.one_of(
+    st.lists(TOKENS, max_size=10).map("".join), TREES.map(json.dumps),
+    TREES.map(lambda t: json.dumps(t, separators=(",", ":"), ensure_ascii=False)),
+))
+def test_streamed_like_the_tree(text):
+    from emberlog.functions import redaction
+
+    keys = frozenset({"token", "secret"})
+    try:
+        want = redaction._apart(redaction._read(text), keys)
+    except ValueError:
+        want = None
+    try:
+        assert redaction._streamed(text, keys) == want
+    except ValueError:
+        assert want is None
+    except redaction._Repeated:
+        pass
