@@ -117,7 +117,7 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    cache = process_cache()
+    cache = process_cache("packing")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +58,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
-def process_cache() -> dict:
-    """A dict that lives as long as the Python worker, for what is costly to load."""
-    return sys.modules.setdefault("_emberlog_cache", types.ModuleType("_emberlog_cache")).__dict__
+def process_cache(owner: str) -> dict:
+    """A dict that lives in the Python worker for what is costly to load. A worker serves the tasks of one
+    operator after another, so what another owner keeps is let go."""
+    cache = sys.modules.setdefault("_emberlog_cache", types.ModuleType("_emberlog_cache")).__dict__
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache.update(owner=owner, kept={})
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return cache["kept"]
 
 
 def bit_words(cells: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64. Those for a usual slice are kept,
     those for a long text are not."""
-    cache = process_cache()
+    cache = process_cache("words")
     usual = SLICE + 1
     if n <= usual and "powers" in cache:
         return cache["powers"]
