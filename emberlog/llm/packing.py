@@ -23,8 +23,11 @@ texts are packed like any others; every row is packed. An empty table gives an e
 
 from __future__ import annotations
 
+import ctypes
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import process_cache, small_batches, table, written
+from emberlog.llm.support import small_batches, table, written
 
 CAPACITY = 1024
 END_ID = 2
 BUCKET = 8192
 SLACK = 8
 ROUNDS = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 # How a byte-level tokenizer splits text before merging, for the characters of _PLAIN only.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -55,16 +58,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes and ids of all tokens of a byte-level tokenizer, if merging whatever gives the token of
+    the least id comes to the same as its list of merges; else None.
+
+    It does if merges are listed by id and each token is what its own text is merged to: as long
+    as no merge crosses the ends of a token's text, what happens inside is what happens to that
+    text alone, so no other two parts of it ever meet.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab = model.get("vocab") or {}
+    # Byte-level tokenizers write a byte as the character of that code or, if that is no visible one,
+    # as the next character from 256 on.
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(seen)]
+    of_char = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(others)}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", ())]
+    order = [vocab.get(m, -1) for m in merges]
+    odd = {t for t, i in vocab.items() if set(t) - set(of_char)}
+    made = {*merges, *of_char}
+    plain = [t for t in vocab if t not in odd and t in made]
+    if model.get("type") != "BPE" or order != sorted(set(order)) or not set(of_char) <= set(vocab):
+        return None
+    from tokenizers import Tokenizer
+
+    merge = Tokenizer.from_file(path).model.tokenize
+    if any(len(merge(t)) != 1 for t in plain):
+        return None
+    return {bytes(of_char[c] for c in t): vocab[t] for t in plain}
+
+
 class Encoder:
-    """Token ids, as little-endian 32-bit bytes, of many texts."""
+    """Token ids, as little-endian 32-bit bytes, of many texts. ``ranks``, if there are any, tell the
+    ids of single pieces without the tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = None
+        if ranks:
+            import tiktoken
+
+            # A text that comes to it is one piece.
+            self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         # Words used lately, and those used before them, which go when there are too many.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -85,6 +126,9 @@ class Encoder:
         """Ids of single pieces. Those of a space and letters are encoded as one text, which the
         tokenizer splits at each of them again; others as one text with line ends between them,
         which are pieces of their own wherever something else than white space follows."""
+        if self.merge:
+            yield from zip(words, (array("I", ids).tobytes() for ids in map(self.merge, words)))
+            return
         spaced, others, blank = [], [], []
         for w in words:
             (spaced if w[0] == " " and w[1:2].isalpha() else blank if w.isspace() else others).append(w)
@@ -116,11 +160,11 @@ class Encoder:
         return out
 
 
-def _encoder(path: str) -> Encoder:
-    cache = process_cache("packing")
-    if ("encoder", path) not in cache:
-        cache["encoder", path] = Encoder(path)
-    return cache["encoder", path]
+def _trim() -> None:
+    """Give memory that is free back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -134,12 +178,14 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        # Lives as long as the task: a worker may serve others after it, or stay idle.
+        encoder = Encoder(path, ranks.value)
         end = np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
+            _trim()
             for at, rows in _portions(batch):
                 rows_out = []
                 texts = [t or "" for t in rows.column(1).to_pylist()]
@@ -156,11 +202,13 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 if with_ids:
                     kinds, names = [*kinds, pa.list_(pa.int32())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        del encoder
+        _trim()
 
     return run
 
 
-def _portions(batch: pa.RecordBatch, rows: int = 400) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _portions(batch: pa.RecordBatch, rows: int = 200) -> Iterator[tuple[int, pa.RecordBatch]]:
     for at in range(0, batch.num_rows, rows):
         yield at, batch.slice(at, rows)
 
@@ -296,10 +344,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
     for, ``ids``. A sequence is named after the piece it begins with."""
     path = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(byte_ranks(path))  # a vocabulary, half a megabyte
     schema = _PIECES + (", ids array<int>" if with_ids else "")
     pieces = written(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_pieces(path, capacity, end_id, with_ids), schema),
+        .mapInArrow(_pieces(path, capacity, end_id, with_ids, ranks), schema),
         "pieces",
     )
     done = pieces.filter(F.col("length") == capacity).select(

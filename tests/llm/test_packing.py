@@ -1,12 +1,15 @@
+import os
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from emberlog.llm.packing import Encoder, best_fit, cut, default_tokenizer, local_search, pack
+from emberlog.llm import packing
+from emberlog.llm.packing import Encoder, best_fit, byte_ranks, cut, default_tokenizer, local_search, pack
 
 
 @pytest.fixture(scope="module")
@@ -48,9 +51,21 @@ def test_encoder_gives_the_ids_of_whole_texts(tokenizer):
     alphabet = "abcXYZ éßñ'’ 0123²½ \n\t\r\x0b\x0c\x1c\x85\xa0 !?*#-—漢字🙂 's 't 'll"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["it's  we'll\n\n x", "a <|endoftext|> b", "", "   ", "\n a", "don't'''s"]
-    got = Encoder(default_tokenizer()).encode(texts)
+    ranks = byte_ranks(default_tokenizer())
+    assert len(ranks) == 256 + 50_000
+    for encoder in (Encoder(default_tokenizer()), Encoder(default_tokenizer(), ranks)):
+        for t, ids in zip(texts, encoder.encode(texts)):
+            assert list(np.frombuffer(ids, "<u4")) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_encoder_on_the_documents(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 2000)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    encoder = Encoder(default_tokenizer(), byte_ranks(default_tokenizer()))
+    got = [ids for at in range(0, len(texts), 50) for ids in encoder.encode(texts[at : at + 50])]
     for t, ids in zip(texts, got):
-        assert list(np.frombuffer(ids, "<u4")) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert list(np.frombuffer(ids, "<u4")) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def fewest_bins(lengths, capacity):
