@@ -23,6 +23,7 @@ from emberlog.sources.cloud import scan_cloud_logs, service_of_group
 from emberlog.sources.pods import scan_pod_logs, service_of_selector
 from emberlog.sources.store import append_events, read_store, scan_events, write_lines
 from emberlog.streaming.ingest import IngestDefaults, stream_ingest
+from emberlog.streaming.lines import stream_lines, unfinished_lines
 
 SHOWN = "id, ts, ts_ms, level, type, service, run_id, session_id, message, data"
 _COLUMNS = SHOWN.split(", ")
@@ -91,6 +92,17 @@ def _(spark, d):
     return read_store(spark, root).filter(found).select(*_COLUMNS, "date")
 
 
+@query("append_again", f"with {R} select {SHOWN}, cast(epoch_ms(ts_ms) as date) as date from r")
+def _(spark, d):
+    """Appends under an id that run twice, as after a failure."""
+    root = shared_dir(spark, "store")
+    events_ = ragged(spark, d)
+    for level, name in ((F.col("level") == "info", "one"), (F.col("level") != "info", "two")):
+        for _ in range(2):
+            append_events(events_.filter(level), root, append_id=name)
+    return read_store(spark, root).select(*_COLUMNS, "date")
+
+
 @query(
     "append_lines",
     f"""with {R} select {SHOWN}, cast(null as varchar) as tags from r""",
@@ -282,25 +294,45 @@ _WS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 _CHUNK = "case when doc_id % 3 = 0 then replace(text, chr(10), concat(chr(13), chr(10))) else text end"
 
 
+_LINES = f"""with chunks as (select lang as stream_id, case when doc_id % 4 = 0 then 'stderr' else 'stdout' end as kind, doc_id as seq, {_CHUNK} as chunk from documents),
+        streams as (select stream_id, kind, string_agg(chunk, '' order by seq) as all_text from chunks group by 1, 2),
+        lines as (select stream_id, kind, unnest(regexp_split_to_array(all_text, '\\r?\\n')) as message from streams)"""
+
+
+def _chunks(documents_: DataFrame) -> DataFrame:
+    return documents_.select(
+        F.col("lang").alias("stream_id"),
+        F.expr("case when doc_id % 4 = 0 then 'stderr' else 'stdout' end as kind"),
+        F.col("doc_id").alias("seq"),
+        F.expr(f"{_CHUNK} as chunk"),
+    )
+
+
 @query(
     "lines_from_chunks",
-    f"""with chunks as (select lang as stream_id, case when doc_id % 4 = 0 then 'stderr' else 'stdout' end as kind, doc_id as seq, {_CHUNK} as chunk from documents),
-        streams as (select stream_id, kind, string_agg(chunk, '' order by seq) as all_text from chunks group by 1, 2),
-        lines as (select stream_id, kind, unnest(regexp_split_to_array(all_text, '\\r?\\n')) as message from streams)
+    f"""{_LINES}
         select stream_id, kind, kind as type, case when kind = 'stderr' then 'error' else 'info' end as level, message
         from lines where trim(message, {_WS}) <> ''""",
 )
 def _(spark, d):
     configure(spark)
-    chunks = spark.read.parquet(f"{d}/documents.parquet").select(
-        F.col("lang").alias("stream_id"),
-        F.expr("case when doc_id % 4 = 0 then 'stderr' else 'stdout' end as kind"),
-        F.col("doc_id").alias("seq"),
-        F.expr(f"{_CHUNK} as chunk"),
-    )
+    chunks = _chunks(spark.read.parquet(f"{d}/documents.parquet"))
     return chunk_events(chunks).select("stream_id", "kind", "type", "level", "message")
 
 
+@query("lines_from_stream", f"{_LINES} select stream_id, kind, message from lines where trim(message, {_WS}) <> ''")
+def _(spark, d):
+    configure(spark)
+    table = f"{d}/documents.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{table}*")
+    root, checkpoint = shared_dir(spark, "lines"), shared_dir(spark, "progress")
+    stream_lines(_chunks(raw)).writeStream.format("parquet").option("path", root).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start().awaitTermination()
+    lines = spark.read.parquet(root).unionByName(unfinished_lines(spark, checkpoint))
+    return lines.select("stream_id", "kind", F.col("line").alias("message"))
+
+
 _ARGS = (
     f"""concat('["', {_M}, '", ', id, ', {{"z": 1,"a":[null, true]}}]')""",
     f"""concat('["', {_M}, '"]')""",

@@ -19,8 +19,10 @@ from emberlog.operators.aggregates import (
 from emberlog.operators.filters import event_filter, from_backends
 from emberlog.operators.topn import newest, top_buckets, top_sessions
 from emberlog.plans.request import SearchRequest, Settings
-from emberlog.plans.search import search, tail
+from emberlog.plans.search import search, search_sources, tail
+from emberlog.session import configure, shared_dir
 from emberlog.sources.multi import EventSource, open_sources
+from emberlog.sources.store import append_events, read_store
 
 SHOWN = "id, ts, service, run_id, session_id, type, level, message, data"
 _COLUMNS = SHOWN.split(", ")
@@ -292,6 +294,28 @@ def _(spark, d):
     return answer.events().select("source.backend", "source.backend_id", *_COLUMNS)
 
 
+@query(
+    "search_failing_source",
+    f"""with {R}, found as (select id, ts_ms from r where service <> 'svc1')
+        select 'event' as kind, id, cast(null as varchar) as backend_id from (select * from found {_NEWEST} 300)
+        union all select 'error', null, 'svc1'""",
+)
+def _(spark, d):
+    """A store for each service, one of which has a file that is no Parquet file."""
+    configure(spark)
+    pool, stores = ragged(spark, d), {}
+    for name in ("svc0", "svc1", "svc2", "svc3"):
+        stores[name] = shared_dir(spark, "store")
+        append_events(pool.filter(F.col("service") == name), stores[name])
+    bad = spark.range(1).select(F.lit("no Parquet").alias("value"))
+    bad.write.mode("append").text(f"{stores['svc1']}/service=svc1/date=2024-01-15")
+    sources = [EventSource("local", lambda r=root: read_store(spark, r), name) for name, root in stores.items()]
+    request = SearchRequest(since=ALL_TIME, limit=300)
+    answer = search_sources(spark, open_sources(sources), request, WINDOW, Settings(redaction=_no_redaction()))
+    events_ = answer.events().select(F.lit("event").alias("kind"), "id", F.lit(None).cast("string").alias("backend_id"))
+    return events_.unionByName(answer.error_rows(spark).select(F.lit("error").alias("kind"), F.lit(None).cast("string").alias("id"), "backend_id"))
+
+
 def _no_redaction():
     from emberlog.functions.redaction import RedactionPolicy
 

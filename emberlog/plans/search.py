@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import trim_message
 from emberlog.functions.times import Window
 from emberlog.operators.events import redact_events
 from emberlog.operators.shaping import guard_report, output_cap, payload_size, row_payload
-from emberlog.operators.topn import is_truncated, newest_ranked, source_key
+from emberlog.operators.topn import is_truncated, newest, newest_ranked, source_key
 from emberlog.plans.request import SearchRequest, Settings
-from emberlog.sources.multi import SourceError
+from emberlog.sources.multi import SourceError, Sources, error_rows
 
 
 def char_cap(own: float | None, default: float | None) -> int | None:
@@ -56,6 +56,10 @@ class SearchResult:
         """Found events, newest first, redacted and trimmed, numbered in ``rank``."""
         return self._trimmed(self._redacted())
 
+    def error_rows(self, spark: SparkSession) -> DataFrame:
+        """Sources that did not answer: ``(backend, backend_id, message)``."""
+        return error_rows(spark, self.errors)
+
     def payload_column(self) -> Column:
         r = self.request
         return row_payload(r.format or "json", r.fields, bool(r.flatten), r.template)
@@ -122,15 +126,35 @@ def search(
 ) -> SearchResult:
     """Newest matching events. Pass a frame with a ``date`` column to prune day partitions."""
     settings = settings or Settings()
-    day = "date" if "date" in events.columns else None
-    found = events.filter(request.predicate(window, day))
-    if day:
-        found = found.drop(day)
     # One row beyond the limit tells whether the answer was cut without a second read.
-    top = newest_ranked(found, request.rows(settings) + 1)
+    top = newest_ranked(_found(events, request, window), request.rows(settings) + 1)
     return SearchResult(top, request, settings, tuple(errors))
 
 
+def _found(events: DataFrame, request: SearchRequest, window: Window) -> DataFrame:
+    day = "date" if "date" in events.columns else None
+    found = events.filter(request.predicate(window, day))
+    return found.drop(day) if day else found
+
+
+def search_sources(
+    spark: SparkSession,
+    sources: Sources,
+    request: SearchRequest,
+    window: Window,
+    settings: Settings | None = None,
+) -> SearchResult:
+    """Newest matching events of all sources that can be read to their end.
+
+    Each source gives its own newest rows, no more than the limit and one, under an action of its
+    own; one that fails on the way is among the errors of the answer. Runs those actions at once.
+    """
+    settings = settings or Settings()
+    most = request.rows(settings) + 1
+    parts, errors = sources.gather(spark, lambda events: newest(_found(events, request, window), most))
+    return SearchResult(newest_ranked(parts, most), request, settings, tuple(errors))
+
+
 def tail(
     events: DataFrame,
     request: SearchRequest,
@@ -144,12 +168,27 @@ def tail(
     than the deployment's maximum.
     """
     settings = settings or Settings()
+    # The rule that a full answer of one source counts as cut holds for the search below the
+    # tail, which goes up to the deployment's maximum.
+    return replace(search(events, _narrowed(request, settings), window, settings, errors), fills=settings.max_results)
+
+
+def tail_sources(
+    spark: SparkSession,
+    sources: Sources,
+    request: SearchRequest,
+    window: Window,
+    settings: Settings | None = None,
+) -> SearchResult:
+    """:func:`tail` over sources that may fail while they are read, as :func:`search_sources`."""
+    settings = settings or Settings()
+    found = search_sources(spark, sources, _narrowed(request, settings), window, settings)
+    return replace(found, fills=settings.max_results)
+
+
+def _narrowed(request: SearchRequest, settings: Settings) -> SearchRequest:
+    """What a tail asks for."""
     default = min(settings.max_results, settings.tail_rows)
     wanted = replace(request, limit=default if request.limit is None else request.limit)
     rows = min(wanted.rows(settings), settings.max_results)
-    narrowed = replace(
-        wanted, types=None, levels=None, contains=None, since=None, until=None, limit=rows
-    )
-    # The rule that a full answer of one source counts as cut holds for the search below the
-    # tail, which goes up to the deployment's maximum.
-    return replace(search(events, narrowed, window, settings, errors), fills=settings.max_results)
+    return replace(wanted, types=None, levels=None, contains=None, since=None, until=None, limit=rows)

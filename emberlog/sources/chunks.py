@@ -36,18 +36,9 @@ def lines_from_chunks(
     group, and they make up one output row anyway (a line must fit a row).
     """
     key = list(stream)
-    pieces = F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1)
-    rows = df.select(*key, F.col(seq).cast("bigint").alias("_seq"), pieces.alias("_pieces"))
+    rows = break_apart(df, key, seq, chunk)
     count = F.size("_pieces")
-
-    inside = F.transform(
-        F.slice("_pieces", 2, F.greatest(count - 2, F.lit(0))), lambda p, i: F.struct((i + 1).alias("no"), p.alias("text"))
-    )
-    whole = (
-        rows.filter(count > 2)
-        .select(*key, F.col("_seq").alias("open_seq"), F.explode(inside).alias("_p"))
-        .select(*key, "open_seq", F.col("_p.no").alias("line_no"), _no_cr(F.col("_p.text")).alias("line"))
-    )
+    whole = inner_lines(rows, key)
 
     ends = rows.select(
         *key,
@@ -85,11 +76,30 @@ def lines_from_chunks(
     )
     text = F.array_join(F.transform("_parts", lambda p: p["text"]), "")
     joined = ragged.select(
-        *key, "open_seq", "line_no", F.when(F.col("_closed"), _no_cr(text)).otherwise(text).alias("line")
+        *key, "open_seq", "line_no", F.when(F.col("_closed"), without_cr(text)).otherwise(text).alias("line")
     )
     return whole.unionByName(joined).filter(trimmed(F.col("line")) != "")
 
 
+def break_apart(df: DataFrame, key: list[str], seq: str, chunk: str) -> DataFrame:
+    """The pieces between the line breaks of each chunk."""
+    pieces = F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1)
+    return df.select(*key, F.col(seq).cast("bigint").alias("_seq"), pieces.alias("_pieces"))
+
+
+def inner_lines(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Lines that begin and end inside a chunk."""
+    count = F.size("_pieces")
+    inside = F.transform(
+        F.slice("_pieces", 2, F.greatest(count - 2, F.lit(0))), lambda p, i: F.struct((i + 1).alias("no"), p.alias("text"))
+    )
+    return (
+        rows.filter(count > 2)
+        .select(*key, F.col("_seq").alias("open_seq"), F.explode(inside).alias("_p"))
+        .select(*key, "open_seq", F.col("_p.no").alias("line_no"), without_cr(F.col("_p.text")).alias("line"))
+    )
+
+
 def chunk_events(df: DataFrame, **options) -> DataFrame:
     """Captured lines with the event fields they get; the stream kind decides the level."""
     kind = F.col("kind")
@@ -102,7 +112,7 @@ def chunk_events(df: DataFrame, **options) -> DataFrame:
     )
 
 
-def _no_cr(text: Column) -> Column:
+def without_cr(text: Column) -> Column:
     return F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.model import EVENT_SCHEMA
 from emberlog.operators.events import as_events, tag_source
+from emberlog.session import shared_dir
 
 # The source types there are.
 SOURCE_TYPES = ("local", "cloudwatch", "k8s")
@@ -46,11 +48,51 @@ class Sources:
             result = result.unionByName(frame)
         return result
 
+    def gather(
+        self, spark: SparkSession, work: Callable[[DataFrame], DataFrame], at_once: int = 8
+    ) -> tuple[DataFrame, list[SourceError]]:
+        """``work`` done on each source by itself, its results together; and all errors.
+
+        A source may turn out to be unreadable only while it is read, which would take a job over
+        all sources down. So each has an action of its own, ``at_once`` of them at a time, that
+        writes what ``work`` leaves of it to the shared folder. Ask for work that leaves little:
+        the newest rows, or counts that are added up afterwards.
+        """
+        empty = work(spark.createDataFrame([], EVENT_SCHEMA))
+
+        def one(item: tuple[EventSource, DataFrame]) -> DataFrame | SourceError:
+            source, frame = item
+            path = shared_dir(spark, "source")
+            try:
+                work(frame).write.parquet(path)
+            except Exception as error:  # noqa: BLE001 - any failure is reported, not raised
+                return SourceError(source.type, source.id, reason(error))
+            return spark.read.schema(empty.schema).parquet(path)
+
+        result, errors = empty, list(self.errors)
+        if self.frames:
+            with ThreadPoolExecutor(at_once) as pool:
+                for found in pool.map(one, self.frames):
+                    if isinstance(found, SourceError):
+                        errors.append(found)
+                    else:
+                        result = result.unionByName(found)
+        return result, errors
+
     def error_rows(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            [(e.backend, e.backend_id, e.message) for e in self.errors],
-            "backend string, backend_id string, message string",
-        )
+        return error_rows(spark, self.errors)
+
+
+def error_rows(spark: SparkSession, errors: Sequence[SourceError]) -> DataFrame:
+    """``(backend, backend_id, message)`` of what went wrong."""
+    return spark.createDataFrame(
+        [(e.backend, e.backend_id, e.message) for e in errors], "backend string, backend_id string, message string"
+    )
+
+
+def reason(error: Exception) -> str:
+    """The first line of what an error says, or its kind."""
+    return (str(error).strip().splitlines() or [type(error).__name__])[0]
 
 
 def open_sources(
@@ -78,8 +120,7 @@ def open_sources(
             # Looking at the columns makes Spark resolve the plan, so a bad source shows here.
             events = as_events(source.load())
         except Exception as error:  # noqa: BLE001 - any failure is reported, not raised
-            text = (str(error).splitlines() or [type(error).__name__])[0]
-            errors.append(SourceError(source.type, source.id, text))
+            errors.append(SourceError(source.type, source.id, reason(error)))
             continue
         remote = source.type != "local"
         frames.append((source, tag_source(events, source.type, source.id, remote=remote)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,33 +108,56 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("date", utc_day(F.col("ts_ms")))
 
 
-def append_events(df: DataFrame, root: str, fmt: str = "parquet") -> None:
+# Columns that are looked up by a rare value. Their Bloom filters let a reader skip row groups.
+LOOKED_UP = ("session_id", "run_id", "trace_id")
+BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP}
+
+
+def append_events(df: DataFrame, root: str, fmt: str = "parquet", append_id: str | None = None) -> None:
     """Append events below ``service=…/date=…``.
 
+    With ``append_id`` the files lie one folder deeper, in ``append=<id>``, and Spark stages and then
+    publishes whole folders. An append that is run again under its id, because it was cut off or
+    is not known to have ended, replaces its own folders, so each event is there once. A store is
+    written either with ids or without.
+
     The rebalance groups rows by partition, so each gets few files, and lets adaptive
     execution cut a service or day that holds much of the data into several tasks. Files are
     in time order, which lets readers skip row groups by ``ts_ms``.
     """
     events = with_day(as_events(df)).hint("rebalance", "service", "date")
     ordered = events.sortWithinPartitions("service", "date", "ts_ms")
+    by = ["service", "date"]
+    if append_id is not None:
+        if not append_id:
+            raise ValueError("append_id must not be empty")
+        ordered = ordered.withColumn("append", F.lit(append_id))
+        by.append("append")
     if fmt == "jsonl":
-        lines = ordered.select("service", "date", event_json().alias("value"))
-        write_lines(lines, root, "service", "date")
+        lines = ordered.select(*by, event_json().alias("value"))
+        write_lines(lines, root, *by, replace=append_id is not None)
     elif fmt == "parquet":
-        ordered.write.mode("append").partitionBy("service", "date").parquet(root)
+        _by_folder(ordered, by, append_id is not None).options(**BLOOM).parquet(root)
     else:
         raise ValueError(f"unknown store format {fmt!r}")
 
 
-def write_lines(lines: DataFrame, root: str, *by: str) -> None:
-    """Append the JSON objects in ``value`` as lines of ``.jsonl`` files, below folders ``by``.
+def _by_folder(df: DataFrame, by: list[str], replace: bool) -> DataFrameWriter:
+    """A writer that appends, or that replaces the folders it has rows for and no others."""
+    writer = df.write.partitionBy(*by)
+    return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else writer.mode("append")
+
+
+def write_lines(lines: DataFrame, root: str, *by: str, replace: bool = False) -> None:
+    """Append the JSON objects in ``value`` as lines of ``.jsonl`` files, below folders ``by``; with
+    ``replace`` in place of what these folders hold.
 
     The text writer names all files ``.txt``; that of delimited text takes a name. A JSON
     object never begins with a comment sign or holds the separator, so nothing is quoted.
     """
     plain = {"extension": "jsonl", "quote": "", "sep": "\u0001", "ignoreLeadingWhiteSpace": False,
              "ignoreTrailingWhiteSpace": False}
-    lines.select(*by, "value").write.mode("append").partitionBy(*by).options(**plain).csv(root)
+    _by_folder(lines.select(*by, "value"), list(by), replace).options(**plain).csv(root)
 
 
 def read_store(spark: SparkSession, root: str, service: str | None = None) -> DataFrame:

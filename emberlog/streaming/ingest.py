@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.redaction import RedactionPolicy
 from emberlog.operators.events import complete_events, redact_events
-from emberlog.sources.store import parse_lines, with_day
+from emberlog.sources.store import BLOOM, parse_lines, with_day
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,7 @@ def stream_ingest(
     dealt = events.withColumn("_deal", deal).repartition("service", "date", "_deal").drop("_deal")
     return (
         dealt.writeStream.format("parquet")
+        .options(**BLOOM)
         .partitionBy("service", "date")
         .option("path", root)
         .option("checkpointLocation", checkpoint)
