@@ -89,8 +89,8 @@ def guard_report(
     )
     blocked = F.lit(False) if force or cap is None else F.col("estimated_output_chars") > cap
     text = (
-        f"Output exceeds max_output_chars ({cap}). "
-        "Refine your query or pass force=true to bypass the guard."
+        f"The answer is larger than allowed ({cap}). "
+        "Ask for less, or set force to get it whole."
     )
     return report.select(
         F.when(blocked, "output_too_large").alias("code"),

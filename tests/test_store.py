@@ -38,7 +38,7 @@ def ids(df):
 
 
 def test_query_reads_messages_and_contains_reads_all(spark, tmp_path):
-    write(f"{tmp_path}/svc/2026-02-09/run.jsonl", *map(json.dumps, ROWS))
+    write(f"{tmp_path}/svc/2023-11-07/lines.jsonl", *map(json.dumps, ROWS))
     events = scan_events(spark, str(tmp_path))
     assert ids(events.filter(event_filter(query="nearly"))) == ["1"]
     assert ids(events.filter(event_filter(contains="nearly"))) == ["1", "2", "3"]
