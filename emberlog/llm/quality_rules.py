@@ -5,7 +5,8 @@ table of bounds, and ``compile_rules`` makes one Column of them. There is no use
 
 A NULL text has no words. Words are runs of characters other than space, tab, line feed, vertical
 tab, form feed and carriage return. Ratios of a text without words are NULL and pass no rule that
-has a lower bound; such a text fails the base rules anyway. Every row gives one row.
+has a lower bound; such a text fails the base rules anyway. Every row gives one row, equal rows too; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import SPACES, SPACE_CLASS, fresh, table
+from emberlog.llm.support import SPACES, SPACE_CLASS, beside, fresh, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -57,38 +58,57 @@ def words_of(text: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words that lie in some run of three words that the text has twice or more."""
+    """Words that lie in some run of three words that the text has twice or more.
 
-    def covered(windows: Column) -> Column:
-        def with_twice(twice: Column) -> Column:
-            marks = F.transform(windows, lambda h: F.array_contains(twice, h))
+    Runs are hashed. Only a text in which a hash occurs again sorts its runs, by hash and place,
+    so that equal ones are neighbours; nothing is looked up run by run in a list.
+    """
 
-            def at(m: Column, i: Column) -> Column:
-                return F.coalesce(F.get(m, i), F.lit(False))
+    def places(windows: Column) -> Column:
+        """Where the runs that occur twice or more begin, in order."""
+        ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-            count = bound_once(marks, lambda m: F.size(F.filter(
-                F.sequence(F.lit(0), F.size(m) + 1),
-                lambda i: at(m, i) | at(m, i - 1) | at(m, i - 2),
-            )))
-            return F.when(F.size(twice) == 0, F.lit(0)).otherwise(count)
+        def repeated(s: Column) -> Column:
+            def same(k: Column, e: Column) -> Column:
+                return F.coalesce(F.get(s, k)["h"] == e["h"], F.lit(False))
 
-        repeated = bound_once(F.sort_array(windows), lambda s: F.array_distinct(F.filter(
-            F.transform(s, lambda h, i: F.when(h == F.get(s, i + 1), h)), lambda h: h.isNotNull()
-        )))
-        return bound_once(repeated, with_twice)
+            kept = F.filter(s, lambda e, k: same(k - 1, e) | same(k + 1, e))
+            return F.sort_array(F.transform(kept, lambda e: e["i"]))
+
+        return bound_once(ordered, repeated)
+
+    def covered(at: Column) -> Column:
+        """Words under runs of three that begin at ``at``."""
+        return F.aggregate(
+            F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3)))),
+            F.lit(0), lambda total, n: total + n,
+        )
+
+    def counted(w: Column) -> Column:
+        again = F.size(F.array_distinct(w)) < F.size(w)
+        return F.when(again, bound_once(places(w), covered)).otherwise(F.lit(0))
 
     windows = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
         lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(bound_once(windows, covered)).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(bound_once(windows, counted)).cast("long")
+
+
+def is_stop_word(word: Column) -> Column:
+    """Whether the word, without what follows its last letter, is a stop word in any case."""
+    stop = sorted({w for row in STOP_WORDS for w in row.split()})
+    longest = max(map(len, stop))
+    # Stop words are letters only, so what may follow one has no letter.
+    tailed = word.rlike(rf"^\p{{L}}{{1,{longest}}}+[^\p{{L}}]++$")
+    bare = F.lower(F.regexp_extract(word, r"^\p{L}+", 0))
+    return F.lower(word).isin(stop) | (tailed & bare.isin(stop))
 
 
 def measures(text: Column, words: Column) -> dict[str, Column]:
     """Counts of a text; ``words`` is its array of words."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    stop = F.array(*(F.lit(w) for w in sorted({w for row in STOP_WORDS for w in row.split()})))
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
@@ -96,9 +116,7 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": bound_once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeat_words(words),
-        "n_stop_words": F.size(F.filter(
-            words, lambda w: F.array_contains(stop, F.lower(F.regexp_replace(w, r"[^\p{L}]+$", "")))
-        )).cast("long"),
+        "n_stop_words": F.size(F.filter(words, is_stop_word)).cast("long"),
     }
 
 
@@ -130,12 +148,16 @@ def base_failed() -> Column:
 
 def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text",
             keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, the measures, ``base_failed`` and ``kept`` of every row."""
-    (words,) = fresh(docs, "words")
-    split = docs.select(*keep, F.col(text_col).alias(f"{words}_text"),
-                        words_of(F.col(text_col)).alias(words))
+    """The columns ``keep``, the measures, ``base_failed`` and ``kept`` of every row.
+
+    A column of ``keep`` that is named like one of the others has an underscore put in front.
+    """
+    names = beside(keep, [*measures(F.lit(""), F.array(F.lit(""))), "base_failed", "kept"])
+    moved = [F.col(c).alias(n) for c, n in names.items()]
+    words, text = fresh(docs.select(*moved), "words", "words_text")
+    split = docs.select(*moved, F.col(text_col).alias(text), words_of(F.col(text_col)).alias(words))
     measured = split.select(
-        *keep, *(c.alias(n) for n, c in measures(F.col(f"{words}_text"), F.col(words)).items())
+        *names.values(), *(c.alias(n) for n, c in measures(F.col(text), F.col(words)).items())
     )
     judged = measured.withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.registry import query
-from emberlog.llm.support import fresh, table, written
+from emberlog.llm.support import beside, fresh, table, written
 
 SEED = 17
 BUCKET_ROWS = 1024
@@ -54,10 +54,14 @@ def interleave(rows: DataFrame, shards: int, key: Sequence[str], source: str = "
     """Every row with ``shard`` (0 to ``shards`` - 1) and ``slot``, its place in the shard.
 
     ``key`` are columns that tell rows apart and seed the order; all columns of ``rows`` travel
-    through the shuffles, so pass narrow rows.
+    through the shuffles, so pass narrow rows. A column of ``rows`` named ``shard`` or ``slot`` has
+    an underscore put in front.
     """
     if shards < 1:
         raise ValueError("there must be at least one shard")
+    names = beside(rows.columns, ["shard", "slot"])
+    rows = rows.select(*(F.col(c).alias(n) for c, n in names.items()))
+    key, source = [names.get(k, k) for k in key], names.get(source, source)
     draw, bucket, rank, total, share, cell, place = fresh(
         rows, "draw", "bucket", "rank", "total", "share", "cell", "place"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def beside(columns: Sequence[str], own: Sequence[str]) -> dict[str, str]:
+    """Names for ``columns`` next to an operator's ``own``: the same name, with underscores in front
+    where it would be taken, in any spelling of case."""
+    taken = {c.lower() for c in own} | {c.lower() for c in columns}
+    out = {}
+    for c in columns:
+        name = c
+        if c.lower() in {o.lower() for o in own}:
+            while name.lower() in taken:
+                name = f"_{name}"
+            taken.add(name.lower())
+        out[c] = name
+    return out

@@ -1,11 +1,13 @@
 import os
+import time
 import zlib
 
 import duckdb
 import pytest
+import regex
 
 from emberlog.llm.catalog import QUERIES
-from emberlog.llm.quality_rules import SYMBOLS, quality
+from emberlog.llm.quality_rules import STOP_WORDS, SYMBOLS, quality
 from emberlog.llm.sharding import LAYOUT_SQL, interleave
 from plain_text import WORD, repeat_words
 
@@ -72,3 +74,33 @@ def test_awkward_rows_are_placed(awkward, no_docs):
     assert sorted(places) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (1, 3),
                               (2, 0), (2, 1), (2, 2), (2, 3), (3, 0), (3, 1), (3, 2)]
     assert interleave(no_docs, 4, ["doc_id"]).count() == 0
+
+
+def test_long_repeating_text_is_measured_in_linear_time(docs_of):
+    text = " ".join(f"w{i % 100_000}" for i in range(300_000))
+    started = time.monotonic()
+    (row,) = quality(docs_of([(1, text, "en", "a")])).collect()
+    assert (row["n_words"], row["n_repeat_words"]) == (300_000, 300_000)
+    assert time.monotonic() - started < 60
+
+
+def test_stop_words_end_at_their_last_letter(docs_of):
+    words = "The the, THE!! the-x x-the 'the más MÁS. qu\u0130 \u0130 de\u2028 de\u2028x 1 ... them und4 und4x"
+    (row,) = quality(docs_of([(1, words, "en", "a")])).collect()
+    stop = {w for line in STOP_WORDS for w in line.split()}
+    stripped = [regex.sub(r"[^\p{L}]+$", "", w).lower() for w in WORD.findall(words)]
+    assert row["n_stop_words"] == sum(w in stop for w in stripped) == 7
+
+
+def test_columns_named_like_results_move(docs_of):
+    docs = docs_of([(i, "a b c", "en", "a") for i in range(4)]).selectExpr(
+        "doc_id", "text", "source", "doc_id as n_words", "doc_id as KEPT", "doc_id as _kept", "doc_id as words")
+    got = quality(docs, keep=["doc_id", "n_words", "KEPT", "_kept", "words"])
+    assert got.columns[:5] == ["doc_id", "_n_words", "__KEPT", "_kept", "words"]
+    assert {(r["doc_id"], r["_n_words"], r["__KEPT"], r["n_words"], r["kept"]) for r in got.collect()} == {
+        (i, i, i, 3, False) for i in range(4)}
+    rows = docs.selectExpr("doc_id", "source", "doc_id as shard", "doc_id as Slot")
+    placed = interleave(rows, 2, ["shard"])
+    assert placed.columns == ["doc_id", "source", "_shard", "_Slot", "shard", "slot"]
+    assert sorted((r["shard"], r["slot"]) for r in placed.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert interleave(rows.limit(0), 2, ["shard"]).columns == placed.columns
