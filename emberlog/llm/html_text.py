@@ -7,6 +7,11 @@ joined by edges that cost something when cut. The minimum cut, found by maximum
 labelling of least total cost; a short paragraph between long ones stays content, a long notice in a
 menu stays boilerplate. Text in scripts, styles, forms, comments and the like never becomes a block.
 
+A name counts by its share of a class or id: ``cookie-notice`` and ``site-footer`` are boilerplate for sure,
+which no edge overrules, so that an advert between paragraphs goes; ``search-results-study`` only speaks
+against content, and an article or its neighbours outweigh it. What a layout is said to be ``with`` is
+not what it is.
+
 Each page is a row of its own and nothing is shuffled; blocks and edges grow with the page, and an
 edge joins a block to the two before it only.
 
@@ -59,6 +64,12 @@ BAD_NAMES = frozenset(
     "pagination pager copyright legal disclaimer toolbar skip search".split()
 )
 GOOD_NAMES = frozenset("article content main post story entry text body prose".split())
+# Words of a name that say where or what shape, not what; and words that speak of another element.
+LAYOUT_NAMES = frozenset(
+    "site page main global top bottom left right box block item items list container wrapper wrap inner outer "
+    "area section panel col row bar link links btn button".split()
+)
+ABOUT_OTHERS = frozenset("with has have no without hide show".split())
 BAD_TAGS = frozenset("nav header footer aside menu form address dialog".split())
 BAD_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert form menu menubar "
@@ -68,6 +79,7 @@ BAD_ROLES = frozenset(
 #: Costs of a label, in whole units: (for content, for boilerplate) per trait of a block.
 COSTS = {
     "bad": (400, 0),  # in an element that is named or known for boilerplate
+    "doubtful": (24, 0),  # in an element whose name has a word of boilerplate among others
     "article": (0, 60),  # in an article or the main element
     "named_content": (0, 20),
     "linked": (40, 0),  # most of its text is in links
@@ -85,6 +97,7 @@ class Block(NamedTuple):
     text: str
     path: tuple[int, ...]  # numbers of the elements around it
     bad: bool
+    doubtful: bool
     article: bool
     named: bool
     linked: float
@@ -105,20 +118,35 @@ class _Element(NamedTuple):
     number: int
     hidden: bool
     bad: bool
+    doubtful: bool
     article: bool
     named: bool
     link: bool
 
 
+def _against(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names boilerplate for sure, and whether it may."""
+    sure = maybe = False
+    for name in value.split():
+        words = _NAME.findall(name)
+        if words and words[0] in ABOUT_OTHERS:
+            continue
+        bad = sum(w in BAD_NAMES for w in words)
+        others = sum(w not in BAD_NAMES and w not in LAYOUT_NAMES for w in words)
+        sure = sure or bad > 0 and bad >= others
+        maybe = maybe or bad > 0
+    return sure, maybe
+
+
 def _traits(tag: str, attrs: str, number: int, up: _Element) -> _Element:
-    bad, named, hidden = tag in BAD_TAGS, False, tag in HIDDEN
+    bad, named, hidden, doubtful, named_bad = tag in BAD_TAGS, False, tag in HIDDEN, False, False
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                words = set(_NAME.findall(value))
-                bad = bad or bool(words & BAD_NAMES)
-                named = named or bool(words & GOOD_NAMES)
+                sure, maybe = _against(value)
+                named_bad, doubtful = named_bad or sure, doubtful or maybe
+                named = named or not GOOD_NAMES.isdisjoint(_NAME.findall(value))
             elif name == "role":
                 bad = bad or value in BAD_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -128,17 +156,19 @@ def _traits(tag: str, attrs: str, number: int, up: _Element) -> _Element:
     # A header inside of an article holds its title, unless it is named otherwise.
     if tag == "header" and up.article and not up.bad:
         bad = False
-    if tag in ("body", "html", "main", "article"):
-        bad = False
+    # Outermost elements of the text are what they are; an article within an article may be a comment.
+    if tag in ("body", "html", "main") or tag == "article" and not up.article and named:
+        bad = named_bad = doubtful = False
     return _Element(
-        tag, number, up.hidden or hidden, up.bad or bad, up.article or tag in ("article", "main"),
+        tag, number, up.hidden or hidden, up.bad or bad or named_bad, up.doubtful or doubtful,
+        up.article or tag in ("article", "main"),
         up.named or named, up.link or tag == "a",
     )
 
 
 def blocks(page: str) -> list[Block]:
     """The visible blocks of a page, in order."""
-    stack = [_Element("", 0, False, False, False, False, False)]
+    stack = [_Element("", 0, False, False, False, False, False, False)]
     out: list[Block] = []
     parts: list[str] = []
     linked, number, at, owner = 0, 0, 0, stack[0]
@@ -149,7 +179,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             path = tuple(e.number for e in stack if e.tag in BLOCK)
             out.append(Block(
-                text, path, owner.bad, owner.article, owner.named, linked / len(text),
+                text, path, owner.bad, owner.doubtful, owner.article, owner.named, linked / len(text),
                 any(e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack),
             ))
         parts.clear()
@@ -225,6 +255,7 @@ def capacities(block: Block) -> tuple[int, int]:
     words = block.text.count(" ") + 1
     traits = ["plain"]
     traits += ["bad"] * block.bad
+    traits += ["doubtful"] * (block.doubtful and not block.bad)
     traits += ["article"] * (block.article and not block.bad)
     traits += ["named_content"] * (block.named and not block.bad)
     traits += ["linked"] * (block.linked > 0.6 and not block.article)

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from emberlog.llm.html_text import blocks, content_side, extract, main_text
+from emberlog.llm.html_text import blocks, capacities, content_side, extract, main_text
 
 
 def cost(keep, costs, edges):
@@ -79,3 +79,33 @@ def test_awkward_pages(spark):
 def test_links_are_counted():
     (nav, text) = blocks("<p><a href=x>All of it</a></p><p>Some <a href=x>of</a> it</p>")
     assert nav.linked == 1.0 and text.linked < 0.5
+
+
+LONG = ("This paragraph has quite a few words in it, enough to be read as text of the page by anyone at all who "
+        "comes by and looks at it for a while.")
+LAYOUTS = (
+    # (page, blocks of its text)
+    (f'<div class="layout with-sidebar"><article><p>{LONG}</article></div>', [LONG]),
+    (f'<article><section class="search-results-study"><p>{LONG}<p>Short.</section></article>', [LONG, "Short."]),
+    (f'<article><p>{LONG}<div class="cookie-notice">{LONG}</div><p>End.</article>', [LONG, "End."]),
+    (f'<article><p>{LONG}<article class="comment"><p>{LONG}</article></article>', [LONG]),
+    (f'<article class="post no-comments"><p>{LONG}</article><article class="ad"><p>{LONG}</article>', [LONG]),
+    (f'<div id="site-footer"><p>{LONG}</div><main><p>{LONG}<p>x</main>', [LONG, "x"]),
+    (f'<body class="search"><div role="navigation">{LONG}</div><article><h1>T</h1><p>{LONG}</article>', ["T", LONG]),
+    (f'<div id=c1><p>{LONG}<p>Tiny one.<p>{LONG}</div>', [LONG, "Tiny one.", LONG]),
+    (f'<div id=c1><p>{LONG}<p class="tags-of-old-towns">{LONG}<p>{LONG}</div>', [LONG] * 3),
+)
+
+
+def test_layouts():
+    for page, want in LAYOUTS:
+        assert main_text(page).split("\n\n") == want, page
+
+
+def test_edges_decide_where_blocks_alone_are_wrong():
+    changed = 0
+    for page, want in LAYOUTS:
+        found = blocks(page)
+        alone = content_side([capacities(b) for b in found], [])
+        changed += [b.text for b, k in zip(found, alone) if k] != want
+    assert changed == 2
