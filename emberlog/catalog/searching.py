@@ -267,6 +267,22 @@ def _(spark, d):
     return answer.events().select(*_COLUMNS, "rank")
 
 
+@query(
+    "search_count_first",
+    f"""with {R}, found as (select * from r where service <> 'svc2' {_NEWEST} 400)
+        select {SHOWN} from found""",
+)
+def _(spark, d):
+    """A search over all times of a store that reads whole events of its newest days only."""
+    configure(spark)
+    root = shared_dir(spark, "store")
+    append_events(ragged(spark, d), root)
+    stored = read_store(spark, root).filter(F.col("service") != "svc2")
+    request = SearchRequest(since=ALL_TIME, limit=400)
+    answer = search(stored, request, WINDOW, Settings(redaction=_no_redaction()), count_first=True)
+    return answer.events().select(*_COLUMNS)
+
+
 @query(
     "stats_topk",
     f"""with {D} select run_id as key, count(*) as count from d group by 1 order by count desc, key limit 5""",

@@ -12,7 +12,7 @@ from emberlog.functions.text import trim_message
 from emberlog.functions.times import Window
 from emberlog.operators.events import redact_events
 from emberlog.operators.shaping import guard_report, output_cap, payload_size, row_payload
-from emberlog.operators.topn import is_truncated, newest, newest_ranked, source_key
+from emberlog.operators.topn import is_truncated, newest, newest_part, newest_ranked, source_key
 from emberlog.plans.request import SearchRequest, Settings
 from emberlog.sources.multi import SourceError, Sources, error_rows
 
@@ -123,17 +123,26 @@ def search(
     window: Window,
     settings: Settings | None = None,
     errors: Sequence[SourceError] = (),
+    count_first: bool = False,
 ) -> SearchResult:
-    """Newest matching events. Pass a frame with a ``date`` column to prune day partitions."""
+    """Newest matching events. Pass a frame with a ``date`` column to prune day partitions.
+
+    With ``count_first``, for windows over much of a store, matching events are counted by hour
+    at once, and whole events are read from the day and hour on in which the answer begins.
+    """
     settings = settings or Settings()
     # One row beyond the limit tells whether the answer was cut without a second read.
-    top = newest_ranked(_found(events, request, window), request.rows(settings) + 1)
+    most = request.rows(settings) + 1
+    top = newest_ranked(_found(events, request, window, most if count_first else None), most)
     return SearchResult(top, request, settings, tuple(errors))
 
 
-def _found(events: DataFrame, request: SearchRequest, window: Window) -> DataFrame:
+def _found(events: DataFrame, request: SearchRequest, window: Window, newest_of: int | None = None) -> DataFrame:
+    """Matching events, or with ``newest_of`` only the part of them that holds so many newest."""
     day = "date" if "date" in events.columns else None
     found = events.filter(request.predicate(window, day))
+    if newest_of is not None:
+        found = newest_part(found, newest_of, day)
     return found.drop(day) if day else found
 
 
@@ -161,16 +170,18 @@ def tail(
     window: Window,
     settings: Settings | None = None,
     errors: Sequence[SourceError] = (),
+    count_first: bool = False,
 ) -> SearchResult:
     """The most recent events, within the default window.
 
     Only service, session, run, query and backends narrow it down, and it never returns more
-    than the deployment's maximum.
+    than the deployment's maximum. ``count_first`` is that of :func:`search`.
     """
     settings = settings or Settings()
     # The rule that a full answer of one source counts as cut holds for the search below the
     # tail, which goes up to the deployment's maximum.
-    return replace(search(events, _narrowed(request, settings), window, settings, errors), fills=settings.max_results)
+    found = search(events, _narrowed(request, settings), window, settings, errors, count_first)
+    return replace(found, fills=settings.max_results)
 
 
 def tail_sources(
