@@ -22,6 +22,7 @@ from emberlog.plans.request import SearchRequest, Settings
 from emberlog.plans.search import search, search_sources, tail
 from emberlog.session import configure, shared_dir
 from emberlog.sources.multi import EventSource, open_sources
+from emberlog.sources.sketches import read_store_for, write_sketches
 from emberlog.sources.store import append_events, read_store
 
 SHOWN = "id, ts, service, run_id, session_id, type, level, message, data"
@@ -283,6 +284,25 @@ def _(spark, d):
     return answer.events().select(*_COLUMNS)
 
 
+@query(
+    "search_sketched",
+    f"""with {R} select {SHOWN} from r
+        where contains(lower(coalesce(message, '')), 'ok 7') or contains(lower(coalesce(session_id, '')), 'ok 7')
+          or contains(lower(coalesce(data, '')), 'ok 7')""",
+)
+def _(spark, d):
+    """A substring search over a store whose files are sketched, but for those appended last."""
+    configure(spark)
+    root, sketches = shared_dir(spark, "store"), shared_dir(spark, "sketches")
+    pool = ragged(spark, d)
+    append_events(pool.filter(F.col("service") != "svc3"), root)
+    write_sketches(spark, root, sketches)
+    append_events(pool.filter(F.col("service") == "svc3"), root)
+    request = SearchRequest(contains="OK 7", since=ALL_TIME)
+    events_ = read_store_for(spark, root, sketches, request)
+    return events_.filter(request.predicate(WINDOW, "date")).select(*_COLUMNS)
+
+
 @query(
     "stats_topk",
     f"""with {D} select run_id as key, count(*) as count from d group by 1 order by count desc, key limit 5""",

@@ -102,3 +102,15 @@ def message_query(query: str, column: str = "message") -> Column:
     """Predicate of a search over a message column; a NULL message counts as empty text."""
     name = ".".join(f"`{part}`" for part in column.split("."))
     return F.expr(to_sql(query, f"lower(coalesce({name}, ''))"))
+
+
+def required_terms(query: str) -> list[str]:
+    """Words and phrases that every found message holds; none are told for searches with OR or groups."""
+    tokens = list(_words(query.strip(WHITESPACE)))
+    if any(kind in ("or", "lparen", "rparen") for kind, _, _ in tokens):
+        return []
+    kinds = [None, *(kind for kind, _, _ in tokens)]
+    return [
+        value for before, (kind, value, _) in zip(kinds, tokens)
+        if kind in ("word", "phrase") and before != "not" and value
+    ]
