@@ -287,8 +287,8 @@ def _(spark, d):
 @query(
     "search_sketched",
     f"""with {R} select {SHOWN} from r
-        where contains(lower(coalesce(message, '')), 'ok 7') or contains(lower(coalesce(session_id, '')), 'ok 7')
-          or contains(lower(coalesce(data, '')), 'ok 7')""",
+        where contains(lower(coalesce(message, '')), 'user 12') or contains(lower(coalesce(session_id, '')), 'user 12')
+          or contains(lower(coalesce(data, '')), 'user 12')""",
 )
 def _(spark, d):
     """A substring search over a store whose files are sketched, but for those appended last."""
@@ -298,7 +298,7 @@ def _(spark, d):
     append_events(pool.filter(F.col("service") != "svc3"), root)
     write_sketches(spark, root, sketches)
     append_events(pool.filter(F.col("service") == "svc3"), root)
-    request = SearchRequest(contains="OK 7", since=ALL_TIME)
+    request = SearchRequest(contains="USER 12", since=ALL_TIME)
     events_ = read_store_for(spark, root, sketches, request)
     return events_.filter(request.predicate(WINDOW, "date")).select(*_COLUMNS)
 

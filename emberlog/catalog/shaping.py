@@ -336,6 +336,15 @@ def _(spark, d):
     return batch.rows().select("search_id", "rank", "id", "payload")
 
 
+@query(
+    "search_batch_count_first",
+    f"""with {_HITS} select search_id, rank, id, payload from shaped join sizes using (search_id) where size <= 12000""",
+)
+def _(spark, d):
+    batch = search_batch(ragged(spark, d), _BATCH, WINDOW, _COMMON, Settings(), count_first=True)
+    return batch.rows().select("search_id", "rank", "id", "payload")
+
+
 @query(
     "search_batch_summary",
     f"""with {_HITS}, totals as (select search_id, count(*) as hits from found group by search_id)

@@ -29,37 +29,52 @@ def newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(*newest_order()).limit(check_limit(limit))
 
 
+def _hour_start() -> Column:
+    ms = F.coalesce("ts_ms", F.lit(0).cast("bigint"))
+    return F.coalesce(F.try_subtract(ms, F.pmod(ms, F.lit(HOUR_MS))), F.lit(_EARLIEST))
+
+
 def newest_since(df: DataFrame, limit: int) -> int | None:
     """Start of the hour that the last of the newest rows lies in; None if there are fewer rows.
 
     Runs a count by hour, which reads no column but the time and what filters of ``df`` read. The
     newest N rows lie in the newest N hours that have any, so no more hours are added up.
     """
-    ms = F.coalesce("ts_ms", F.lit(0).cast("bigint"))
-    start = F.coalesce(F.try_subtract(ms, F.pmod(ms, F.lit(HOUR_MS))), F.lit(_EARLIEST))
-    hours = df.groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    hours = df.groupBy(_hour_start().alias("start")).agg(F.count(F.lit(1)).alias("n"))
     last = hours.orderBy(F.col("start").desc()).limit(check_limit(limit))
     total = F.sum("n").over(Window.orderBy(F.col("start").desc()))
     return last.withColumn("total", total).filter(F.col("total") >= limit).agg(F.max("start")).first()[0]
 
 
-def newest_part(df: DataFrame, limit: int, day_column: str | None = None) -> DataFrame:
-    """The rows of ``df`` among which the newest are, ties included, by a bound on time and day that
-    reaches the scan. Runs :func:`newest_since` at once."""
-    since = newest_since(df, limit)
-    if since is None:
-        return df
+def newest_since_each(df: DataFrame, key: str, limits: dict[int, int]) -> dict[int, int]:
+    """:func:`newest_since` for the rows of each number in ``key``, in one run; numbers with fewer rows
+    than their limit are not told. Hours, not rows, are ranked, and a number has one row per hour."""
+    asked = F.array(*[F.lit(limits.get(n, 1)) for n in range(max(limits) + 1)])
+    hours = df.groupBy(key, _hour_start().alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(key).orderBy(F.col("start").desc()))
+    reached = hours.withColumn("total", total).filter(F.col("total") >= F.get(asked, F.col(key)))
+    return {r[0]: r[1] for r in reached.groupBy(key).agg(F.max("start")).collect()}
+
+
+def at_or_after(since: int, day_column: str | None = None) -> Column:
+    """Rows that rank at or after an instant, by a bound on time and day that reaches the scan."""
     bound = F.lit(since).cast("bigint")
     if since <= 0:
         # Rows without a readable time rank as time 0.
-        return df.filter(F.col("ts_ms").isNull() | (F.col("ts_ms") >= bound))
-    kept = df.filter(F.col("ts_ms") >= bound)
+        return F.col("ts_ms").isNull() | (F.col("ts_ms") >= bound)
+    kept = F.col("ts_ms") >= bound
     if day_column:
         # A time beyond all dates has no day.
-        kept = kept.filter(F.col(day_column).isNull() | (F.col(day_column) >= utc_day(bound)))
+        kept = kept & (F.col(day_column).isNull() | (F.col(day_column) >= utc_day(bound)))
     return kept
 
 
+def newest_part(df: DataFrame, limit: int, day_column: str | None = None) -> DataFrame:
+    """The rows of ``df`` among which the newest are, ties included. Runs :func:`newest_since` at once."""
+    since = newest_since(df, limit)
+    return df if since is None else df.filter(at_or_after(since, day_column))
+
+
 def newest_ranked(df: DataFrame, limit: int) -> DataFrame:
     """The newest rows numbered from 1 in ``rank``."""
     return newest(df, limit).withColumn(

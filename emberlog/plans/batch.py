@@ -13,7 +13,7 @@ from emberlog.functions.text import trim_message
 from emberlog.functions.times import Window as TimeWindow
 from emberlog.operators.events import redact_events
 from emberlog.operators.shaping import payload_size, row_payload
-from emberlog.operators.topn import is_truncated, newest_order, source_key
+from emberlog.operators.topn import at_or_after, is_truncated, newest_order, newest_since_each, source_key
 from emberlog.plans.request import SearchRequest, Settings
 from emberlog.plans.search import char_cap
 
@@ -146,6 +146,15 @@ class BatchResult:
         )
 
 
+def _repeated(events: DataFrame, tests: Sequence[tuple[int, Column]]) -> DataFrame:
+    """Each event once for each search that finds it, with its number in ``search_no``."""
+    any_hit = tests[0][1]
+    for _, test in tests[1:]:
+        any_hit = any_hit | test
+    which = F.array_compact(F.array(*[F.when(test, F.lit(no)) for no, test in tests]))
+    return events.filter(any_hit).select("*", F.explode(which).alias("search_no"))
+
+
 def search_batch(
     events: DataFrame,
     searches: Sequence[tuple[str, SearchRequest]],
@@ -153,6 +162,7 @@ def search_batch(
     common: SearchRequest | None = None,
     settings: Settings | None = None,
     force: bool = False,
+    count_first: bool = False,
 ) -> BatchResult:
     """Run ``(id, request)`` searches over one read of ``events``.
 
@@ -163,6 +173,9 @@ def search_batch(
     parts of a search, where each task already drops what cannot be in the answer before the
     shuffle, then over the few rows the parts leave. A search that finds a third of all events
     is therefore spread over many tasks.
+
+    With ``count_first`` the events of each search are counted by hour at once, and only those from
+    the hour on in which its answer begins are read whole, repeated and ranked.
     """
     settings = settings or Settings()
     day = "date" if "date" in events.columns else None
@@ -175,13 +188,13 @@ def search_batch(
             asked.append((search_id, request, None))
         except InvalidQuery as error:
             asked.append((search_id, request, str(error)))
+    if tests and count_first:
+        limits = {no: asked[no][1].rows(settings) + 1 for no, _ in tests}
+        since = newest_since_each(_repeated(events, tests), "search_no", limits)
+        tests = [(no, test & at_or_after(since[no], day) if no in since else test) for no, test in tests]
     if tests:
-        any_hit = tests[0][1]
-        for _, test in tests[1:]:
-            any_hit = any_hit | test
         keep = max(asked[no][1].rows(settings) for no, _ in tests) + 1
-        which = F.array_compact(F.array(*[F.when(test, F.lit(no)) for no, test in tests]))
-        found = events.filter(any_hit).select("*", F.explode(which).alias("search_no"))
+        found = _repeated(events, tests)
     else:
         keep = 1
         found = events.filter(F.lit(False)).withColumn("search_no", F.lit(0))

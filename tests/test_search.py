@@ -127,7 +127,8 @@ def test_tail(events):
     assert tail(events, SearchRequest(), WINDOW, Settings(max_results=20)).events().count() == 20
 
 
-def test_batch_equals_single_searches(events):
+@pytest.mark.parametrize("count_first", [False, True])
+def test_batch_equals_single_searches(events, count_first):
     searches = [
         ("all", SearchRequest(limit=400)),
         ("hot", SearchRequest(service="hot", limit=37, format="text", template="{id} {message}")),
@@ -137,7 +138,7 @@ def test_batch_equals_single_searches(events):
         ("hot", SearchRequest(contains="THREE", limit=5, max_message_chars=4)),
     ]
     settings = Settings(max_output_chars=None)
-    batch = search_batch(events, searches, WINDOW, settings=settings)
+    batch = search_batch(events, searches, WINDOW, settings=settings, count_first=count_first)
     single = {}
     for no, (name, request) in enumerate(searches):
         if name != "bad":
