@@ -23,7 +23,7 @@ from emberlog.plans.search import search, search_sources, tail
 from emberlog.session import configure, shared_dir
 from emberlog.sources.multi import EventSource, open_sources
 from emberlog.sources.sketches import read_store_for, write_sketches
-from emberlog.sources.store import append_events, read_store
+from emberlog.sources.store import append_events, read_store, read_typed_store
 
 SHOWN = "id, ts, service, run_id, session_id, type, level, message, data"
 _COLUMNS = SHOWN.split(", ")
@@ -202,6 +202,17 @@ def _(spark, d):
     return stats(events(spark, d), "stage")
 
 
+@query("stats_by_stage_store", f"with {T} select {_STAGE} as key, count(*) as count from t group by 1")
+def _(spark, d):
+    """Stages read from their own Parquet columns; one of two appends keeps text only."""
+    root = shared_dir(spark, "store")
+    table = events(spark, d)
+    append_events(table.filter(F.col("level") == "info"), root)
+    append_events(table.filter(F.col("level") != "info"), root, typed_data=True)
+    append_events(table.filter(F.col("level").isNull()), root, typed_data=True)
+    return stats(read_typed_store(spark, root), "stage")
+
+
 _SESSIONS = """select session_id, arg_max(ts, (coalesce(ts_ms, 0), ts)) as last_ts, count(*) as event_count,
     count_if(level in ('error', 'fatal'))::bigint as error_count, max(coalesce(ts_ms, 0)) as last_ms
     from {0} where session_id <> '' group by session_id"""

@@ -40,6 +40,31 @@ def iso_text(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), ISO_PATTERN)
 
 
+_SPELLED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.]([0-9]{3}|[0-9]{6}))?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+
+
+def spelling(text: Column) -> Column:
+    """How a plain date text is written: its separator, its digits of a second and its zone, such as
+    ``T3+02:00``; NULL for other texts. Of one spelling, later instants have greater texts."""
+    zone = F.regexp_extract(text, _SPELLED, 3)
+    digits = F.length(F.regexp_extract(text, _SPELLED, 2)).cast("string")
+    return F.when(text.rlike(_SPELLED), F.concat(F.substring(text, 11, 1), digits, zone))
+
+
+def spelled(us: Column, how: Column) -> Column:
+    """Epoch microseconds written as :func:`spelling` names it (the session zone must be UTC)."""
+    zone = F.substr(how, F.lit(3))
+    digits = F.substring(how, 2, 1)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, -2, 2).try_cast("int")
+    shift = F.when(F.length(zone) > 1, F.when(F.left(zone, F.lit(1)) == "-", -minutes).otherwise(minutes))
+    local = F.timestamp_micros(us + F.coalesce(shift, F.lit(0)).cast("bigint") * 60_000_000)
+    part = F.when(digits == "3", F.date_format(local, ".SSS")).when(digits == "6", F.date_format(local, ".SSSSSS"))
+    return F.concat(
+        F.date_format(local, "yyyy-MM-dd"), F.left(how, F.lit(1)), F.date_format(local, "HH:mm:ss"),
+        F.coalesce(part, F.lit("")), zone,
+    )
+
+
 def utc_day(ms: Column) -> Column:
     """The UTC calendar day of an instant; NULL when there is none."""
     return F.timestamp_millis(ms).cast("date")

@@ -43,3 +43,6 @@ EVENT_SCHEMA = T.StructType(
     [T.StructField(name, _TYPES.get(name, T.StringType())) for name in EVENT_FIELDS]
     + [T.StructField("ts_ms", T.LongType())]
 )
+
+# ``data`` as VARIANT, in frames read from a store that keeps it beside the text.
+TYPED_DATA = "data_v"

@@ -23,6 +23,11 @@ SPEED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Leaves of VARIANT columns are written as Parquet columns of their own and read by themselves.
+    "spark.sql.variant.writeShredding.enabled": "true",
+    "spark.sql.variant.inferShreddingSchema": "true",
+    "spark.sql.variant.allowReadingShredded": "true",
+    "spark.sql.variant.pushVariantIntoScan": "true",
     # Batches drop rows beyond a limit before they are shuffled, however large the limit.
     "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from emberlog.functions.jsontext import bind, compact, quote, read_object, string_of
 from emberlog.functions.paths import event_json
 from emberlog.functions.times import event_time_ms, trimmed, utc_day
-from emberlog.model import EVENT_FIELDS, EVENT_SCHEMA, SOURCE_TYPE
+from emberlog.model import EVENT_FIELDS, EVENT_SCHEMA, SOURCE_TYPE, TYPED_DATA
 from emberlog.operators.events import as_events
 
 # Every field is read as text first, so a value of an unexpected type does not reject a line.
@@ -24,6 +24,10 @@ STORE_SCHEMA = T.StructType(
 )
 
 
+# What an append with ``typed_data`` adds to ``data_v``: whether that holds all of ``data``.
+_IS_TYPED = "data_typed"
+
+
 def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """One event per line of JSON; blank and malformed lines are dropped.
 
@@ -113,7 +117,9 @@ LOOKED_UP = ("session_id", "run_id", "trace_id")
 BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP}
 
 
-def append_events(df: DataFrame, root: str, fmt: str = "parquet", append_id: str | None = None) -> None:
+def append_events(
+    df: DataFrame, root: str, fmt: str = "parquet", append_id: str | None = None, typed_data: bool = False
+) -> None:
     """Append events below ``service=…/date=…``.
 
     With ``append_id`` the files lie one folder deeper, in ``append=<id>``, and Spark stages and then
@@ -121,10 +127,15 @@ def append_events(df: DataFrame, root: str, fmt: str = "parquet", append_id: str
     is not known to have ended, replaces its own folders, so each event is there once. A store is
     written either with ids or without.
 
+    With ``typed_data`` Parquet files also hold ``data`` as VARIANT, whose frequent leaves Spark writes as
+    columns of their own; :func:`read_typed_store` reads these. Appends with and without may share a store.
+
     The rebalance groups rows by partition, so each gets few files, and lets adaptive
     execution cut a service or day that holds much of the data into several tasks. Files are
     in time order, which lets readers skip row groups by ``ts_ms``.
     """
+    if typed_data and fmt != "parquet":
+        raise ValueError("typed_data needs the Parquet format")
     events = with_day(as_events(df)).hint("rebalance", "service", "date")
     ordered = events.sortWithinPartitions("service", "date", "ts_ms")
     by = ["service", "date"]
@@ -137,6 +148,10 @@ def append_events(df: DataFrame, root: str, fmt: str = "parquet", append_id: str
         lines = ordered.select(*by, event_json().alias("value"))
         write_lines(lines, root, *by, replace=append_id is not None)
     elif fmt == "parquet":
+        if typed_data:
+            ordered = ordered.withColumn(TYPED_DATA, F.try_parse_json("data"))
+            whole = F.col("data").isNull() | F.col(TYPED_DATA).isNotNull()
+            ordered = ordered.withColumn(_IS_TYPED, whole)
         _by_folder(ordered, by, append_id is not None).options(**BLOOM).parquet(root)
     else:
         raise ValueError(f"unknown store format {fmt!r}")
@@ -165,12 +180,29 @@ def read_store(spark: SparkSession, root: str, service: str | None = None) -> Da
 
     The column ``date`` stays, for :func:`emberlog.operators.filters.time_range`.
     """
+    return _stored(spark, root, STORE_SCHEMA, service).select(*EVENT_SCHEMA.names, "date")
+
+
+def read_typed_store(spark: SparkSession, root: str, service: str | None = None) -> DataFrame:
+    """Like :func:`read_store`, with ``data`` as VARIANT in ``data_v`` besides.
+
+    A query that asks for paths of ``data_v`` reads their leaves only. Rows written without
+    ``typed_data`` are parsed from their text; the statistics of the mark that tells them let each of the two
+    scans skip the files of the other.
+    """
+    marks = T.StructType([T.StructField(TYPED_DATA, T.VariantType()), T.StructField(_IS_TYPED, T.BooleanType())])
+    df = _stored(spark, root, T.StructType(STORE_SCHEMA.fields + marks.fields), service)
+    columns = [*EVENT_SCHEMA.names, "date"]
+    typed = df.filter(F.col(_IS_TYPED)).select(*columns, TYPED_DATA)
+    others = df.filter(F.col(_IS_TYPED).isNull() | ~F.col(_IS_TYPED))
+    return typed.unionAll(others.select(*columns, F.try_parse_json("data").alias(TYPED_DATA)))
+
+
+def _stored(spark: SparkSession, root: str, schema: T.StructType, service: str | None) -> DataFrame:
     try:
-        df = spark.read.schema(STORE_SCHEMA).parquet(root)
+        df = spark.read.schema(schema).parquet(root)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        df = spark.createDataFrame([], STORE_SCHEMA)
-    if service:
-        df = df.filter(F.col("service") == service)
-    return df.select(*EVENT_SCHEMA.names, "date")
+        df = spark.createDataFrame([], schema)
+    return df.filter(F.col("service") == service) if service else df
