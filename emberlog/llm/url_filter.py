@@ -7,8 +7,10 @@ prior, with as much weight as the spread of that level's children calls for (by
 rate of bad pages, ``Z`` standard deviations below the mean, exceeds ``BLOCK_ABOVE``. A host that
 no labelled page mentions gets the posterior of its domain, suffix or of all pages.
 
-A suffix is the last label of a host, a registered domain the ``DOMAIN_LABELS`` last ones, as the
-addresses of these tables are ``name.example.com`` and alike; pass other columns for others.
+A suffix is the last label of a host, or its last two where ``SUFFIXES`` lists them; a registered domain is
+the suffix and one label more. User names and ports do not count there; a numeric address is a domain of its
+own. The outcomes of the registered query are those labels whose ``doc_id`` equals a ``page_id``: the tables
+name no other link between the two, and do not promise this one.
 
 Only DataFrame functions are used. Pages are shuffled only for the join with the table of hosts,
 where Spark finds that table too large to broadcast; adaptive execution splits a large host there.
@@ -30,11 +32,18 @@ from emberlog.llm.support import UPPER, fresh, table, written
 
 BLOCK_ABOVE = 0.5
 Z = 1.645
-DOMAIN_LABELS = 3
 MIN_WEIGHT = 1.0
 MAX_WEIGHT = 1000.0
 
 
+# Suffixes of two labels below which names are registered; the last three are those of the
+# tables here, whose sites are named below them.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.in", "co.jp", "ne.jp",
+    "or.jp", "co.kr", "com.cn", "com.br", "com.mx", "com.ar", "com.tr", "example.com", "example.net", "example.org",
+)
+
+
 class Rule(NamedTuple):
     action: str
     host: str
@@ -69,6 +78,16 @@ def last_labels(host: Column, n: int) -> Column:
     return F.substring_index(host, ".", -n)
 
 
+def domain_and_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain of a host, and the suffix that it is registered below."""
+    name = F.regexp_replace(host, r"(?s)^.*@|:[0-9]*$", "")
+    listed = last_labels(name, 2).isin(*suffixes) if suffixes else F.lit(False)
+    numeric = name.rlike("^[0-9.]+$")
+    domain = F.when(numeric, name).when(listed, last_labels(name, 3)).otherwise(last_labels(name, 2))
+    suffix = F.when(numeric, "").when(listed, last_labels(name, 2)).otherwise(last_labels(name, 1))
+    return domain, suffix
+
+
 def fitting_rule(rules: Sequence[Rule], host: Column, path: Column, value) -> Column:
     """``value`` of the longest rule that fits, else NULL; the rules become one CASE."""
     out = F.lit(None).cast("string")
@@ -78,47 +97,57 @@ def fitting_rule(rules: Sequence[Rule], host: Column, path: Column, value) -> Co
     return out
 
 
-def _weight(level: DataFrame, by: Sequence[str], mean: str, out: str) -> DataFrame:
-    """For each parent, how many outcomes its mean is worth as a prior for its children.
+def _weight(mean: Column) -> Column:
+    """How many outcomes the mean of a parent is worth as a prior for its children, as an aggregate of these.
 
     With rates p of n outcomes and their mean m, the variance between children is what exceeds
     binomial noise; a beta with mean m and that variance has m(1-m)/variance - 1 outcomes.
     """
-    noise = F.col(mean) * (1 - F.col(mean))
-    spread = F.sum((F.col("bad") / F.col("n") - F.col(mean)) ** 2 * F.col("n"))
-    count, total = F.count("*"), F.sum("n")
-    between = (spread - (count - 1) * F.max(noise)) / F.greatest(total, F.lit(1))
-    weight = F.when(between > 0, F.max(noise) / between - 1).otherwise(F.lit(MAX_WEIGHT))
-    return level.groupBy(*by).agg(F.greatest(F.least(weight, F.lit(MAX_WEIGHT)), F.lit(MIN_WEIGHT)).alias(out))
-
-
-def host_reputation(outcomes: DataFrame, domain_labels: int = DOMAIN_LABELS) -> tuple[DataFrame, ...]:
-    """Posteriors from rows (host, bad, n), one per host: tables of hosts, domains, suffixes and
-    of all, each with ``a`` and ``b``, the parameters of its beta posterior."""
-    hosts = outcomes.select(
-        "host", last_labels(F.col("host"), domain_labels).alias("domain"),
-        last_labels(F.col("host"), 1).alias("suffix"), "bad", "n",
-    )
+    noise = F.max(mean * (1 - mean))
+    spread = F.sum((F.col("bad") / F.col("n") - mean) ** 2 * F.col("n"))
+    between = (spread - (F.count("*") - 1) * noise) / F.greatest(F.sum("n"), F.lit(1))
+    weight = F.when(between > 0, noise / between - 1).otherwise(F.lit(MAX_WEIGHT))
+    return F.greatest(F.least(weight, F.lit(MAX_WEIGHT)), F.lit(MIN_WEIGHT)).cast("double")
+
+
+class Reputation(NamedTuple):
+    """Beta posteriors, ``a`` and ``b``, by host, by domain, by suffix, and of all outcomes."""
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    a: float
+    b: float
+
+
+def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> Reputation:
+    """Posteriors from rows (host, bad, n), one per host. The sums over all and the weight of their mean
+    are single numbers and go through the driver."""
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    hosts = written(outcomes.select("host", domain.alias("domain"), suffix.alias("suffix"), "bad", "n"), "outcomes")
+
     def total(df, *by):
         return df.groupBy(*by).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
 
-    domains = total(hosts, "domain", "suffix")
-    suffixes = total(domains, "suffix").withColumn("top", F.lit(0))
-    top = total(suffixes, "top").withColumn("mean", (F.col("bad") + 1) / (F.col("n") + 2))
-    top = top.select("top", (F.col("bad") + 1).alias("a"), (F.col("n") - F.col("bad") + 1).alias("b"), "mean")
-
-    def shrink(level: DataFrame, parent: DataFrame, link: str) -> DataFrame:
-        known = level.join(parent.select(link, F.col("mean").alias("prior")), link)
-        weights = _weight(known, [link], "prior", "weight")
+    def posterior(known: DataFrame, *columns: str) -> DataFrame:
+        """From each row's counts, the mean of its parent and what that is worth."""
         a = F.col("bad") + F.col("weight") * F.col("prior")
         b = F.col("n") - F.col("bad") + F.col("weight") * (1 - F.col("prior"))
-        return known.join(weights, link).select(
-            *level.columns, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean")
-        )
+        return known.select(*columns, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
+
+    def below(level: DataFrame, parent: DataFrame, link: str) -> DataFrame:
+        known = level.join(parent.select(link, F.col("mean").alias("prior")), link)
+        return posterior(known.join(known.groupBy(link).agg(_weight(F.col("prior")).alias("weight")), link), *level.columns)
 
-    suffixes = shrink(suffixes, top, "top")
-    domains = shrink(domains, suffixes, "suffix")
-    return shrink(hosts, domains, "domain"), domains, suffixes, top
+    by_domain = total(hosts, "domain", "suffix")
+    by_suffix = written(total(by_domain, "suffix"), "reputation")
+    sums = by_suffix.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    bad, n = sums["bad"] or 0, sums["n"] or 0
+    mean = F.lit((bad + 1) / (n + 2))
+    weight = by_suffix.agg(_weight(mean).alias("weight")).first()["weight"]
+    top = posterior(by_suffix.withColumns({"prior": mean, "weight": F.lit(weight)}), "suffix")
+    middle = written(below(by_domain, top, "suffix"), "reputation")
+    return Reputation(below(hosts, middle, "domain"), middle, top, bad + 1.0, n - bad + 1.0)
 
 
 def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
@@ -127,35 +156,33 @@ def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
     return a / n - F.lit(z) * F.sqrt(a * b / (n * n * (n + 1)))
 
 
-def host_rates(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_rates(hosts: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, domain, a, b) for every row of ``hosts`` (host): its own posterior, else that of its
     domain, of its suffix or of all."""
-    known, domains, suffixes, top = (written(x, "reputation") for x in host_reputation(written(outcomes, "outcomes")))
-    rows = hosts.select(
-        "host", last_labels(F.col("host"), DOMAIN_LABELS).alias("domain"),
-        last_labels(F.col("host"), 1).alias("suffix"), F.lit(0).alias("top"),
-    )
-    for k, (level, link) in enumerate(((known, "host"), (domains, "domain"), (suffixes, "suffix"), (top, "top"))):
-        rows = rows.join(level.select(link, F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")), link, "left")
-    pick = [F.coalesce(*(F.col(f"{x}{k}") for k in range(4)), F.lit(1.0)) for x in "ab"]
-    return rows.select("host", "domain", pick[0].cast("double").alias("a"), pick[1].cast("double").alias("b"))
+    found = host_reputation(outcomes, suffixes)
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    rows = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"))
+    for level, link in ((found.hosts, "host"), (found.domains, "domain"), (found.suffixes, "suffix")):
+        rows = rows.join(level.select(link, *(F.col(x).alias(f"{link}_{x}") for x in "ab")), link, "left")
+    pick = {x: F.coalesce(*(F.col(f"{link}_{x}") for link in ("host", "domain", "suffix")), F.lit(getattr(found, x))) for x in "ab"}
+    return rows.select("host", "domain", *(c.cast("double").alias(x) for x, c in pick.items()))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES,
-               url_col: str = "url") -> DataFrame:
+               url_col: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, bad_rate and bad_bound; ``outcomes`` are rows
     (host, bad, n)."""
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "bad_rate", "bad_bound")]
     split = pages.select(
         *keep, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
     )
-    rates = written(host_rates(split.select("host").distinct(), outcomes), "reputation")
+    rates = written(host_rates(split.select("host").distinct(), outcomes, suffixes), "reputation")
     # Joined by two columns, so that both sides are shuffled for the join if the table is too
     # large to broadcast, and adaptive execution can split a large host.
     key, domain, a_, b_ = fresh(split, "rated_host", "rated_domain", "rated_a", "rated_b")
     rates = rates.toDF(key, domain, a_, b_)
     joined = split.join(
-        rates, (F.col("host") == F.col(key)) & (last_labels(F.col("host"), DOMAIN_LABELS) == F.col(domain)), "left"
+        rates, (F.col("host") == F.col(key)) & (domain_and_suffix(F.col("host"), suffixes)[0] == F.col(domain)), "left"
     )
     a, b = F.coalesce(a_, F.lit(1.0)), F.coalesce(b_, F.lit(1.0))
     host, path = F.col("host"), F.col("path")
@@ -212,9 +239,16 @@ def _shrink(level: str, parent: str, link: str) -> str:
       select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
              coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+    m as (select *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'gs') as name from u),
+    p as (
+      select *, regexp_full_match(name, '[0-9.]+') as numeric,
+             array_to_string(string_split(name, '.')[-2:], '.') as two,
+             list_contains([{", ".join(f"'{x}'" for x in SUFFIXES)}], two) as listed from m),
     l as (
-      select *, array_to_string(string_split(host, '.')[-3:], '.') as domain,
-             string_split(host, '.')[-1] as suffix from u),
+      select page_id, host, path,
+             case when numeric then name when listed then array_to_string(string_split(name, '.')[-3:], '.')
+                  else two end as domain,
+             case when numeric then '' when listed then two else string_split(name, '.')[-1] end as suffix from p),
     o as (
       select host, domain, suffix, 0 as top, case when quality = 0 or toxic = 1 then 1 else 0 end as bad
       from l join labels on doc_id = page_id where quality is not null or toxic is not null),
